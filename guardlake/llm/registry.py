@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import simhash
+from guardlake.llm import simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_substring": substring.op7_substring,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
