@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import simhash, substring
+from guardlake.llm import bpe, decontaminate, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring": substring.op7_substring,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
