@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import bpe, decontaminate, simhash, substring
+from guardlake.llm import bpe, decontaminate, langid, simhash, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_urls": urls.op2_urls,
+    "op5_warc": warc.op5_warc,
+    "op6_langid": langid.op6_langid,
+    "langid_pages": langid.langid_pages,
     "op7_substring": substring.op7_substring,
     "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_urls": urls.oracle(),
+    "op5_warc": warc.ORACLE,
+}
