@@ -1,27 +1,83 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Every stage takes all that its predecessor kept and returns the columns of ``documents``,
+the last one tokens. Rows with a null id stay; a null text has no words and no language.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from guardlake.llm import bpe
 from guardlake.llm.common import saved, table
+from guardlake.llm.decontaminate import remove_contamination
+from guardlake.llm.langid import identify
 from guardlake.llm.simhash import simhash_components
+from guardlake.llm.substring import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no identified language go; the others' ``lang`` is the one identified."""
+    found = identify(docs).groupBy("doc_id").agg(F.min("language").alias("language"), F.min("accepted").alias("accepted"))
+    changed = saved(found.join(docs.select("doc_id", "lang").distinct(), "doc_id").where("not accepted or lang is null or lang <> language").select("doc_id", "language", "accepted"))
+    named = docs.join(changed.dropDuplicates(["doc_id"]), "doc_id", "left").where("accepted is null or accepted")
+    return named.withColumn("lang", F.coalesce("language", "lang")).select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest id."""
-    keep = simhash_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    gone = saved(simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return (kept.dropDuplicates(["doc_id"]) if twice.take(1) else kept).select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages seen earlier are cut; a document of which nothing is left goes."""
+    cut = saved(remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"]))
+    text = F.coalesce("kept_text", "text")
+    return _measured(docs.join(cut, "doc_id", "left").where("kept_text is null or kept_text <> ''").withColumn("text", text))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut; a document that is mostly such passages goes."""
+    return _measured(remove_contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with a digest of what they decode to."""
+
+    def row(tok: bpe.Tokenizer, text: str) -> tuple:
+        ids = tok.encode(text)
+        return len(ids) // 4, ids, hashlib.sha256(tok.decode(ids).encode()).hexdigest()
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField("decoded_sha256", T.StringType())]
+    return bpe.mapped(docs.select("doc_id", "lang", "source", "text"), bpe.default_path(), row, fields, "text", ("text",))
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+STAGES = [
+    ("language id", language),
+    ("simhash near-dedup", near_duplicates),
+    ("substring dedup", repeats),
+    ("benchmark decontamination", decontaminated),
+    ("bpe tokens", tokens),
+]
+#: Simhash components, winnowed repeats and merges are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))
     return docs

@@ -216,7 +216,7 @@ def read_model(path: str) -> dict:
 _ready: dict[str, Tokenizer] = {}
 
 
-def _mapped(docs: DataFrame, path: str, row, fields: list[T.StructField], text_col: str, drop: tuple[str, ...] = ()) -> DataFrame:
+def mapped(docs: DataFrame, path: str, row, fields: list[T.StructField], text_col: str, drop: tuple[str, ...] = ()) -> DataFrame:
     model, key = docs.sparkSession.sparkContext.broadcast(read_model(path)), uuid.uuid4().hex
     names = [f.name for f in fields]
     src = docs.drop(*[c for c in names if c in docs.columns])
@@ -250,7 +250,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         ids = tok.encode(text)
         return ids, len(ids) // 4
 
-    return _mapped(docs, path, row, [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], text_col)
+    return mapped(docs, path, row, [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], text_col)
 
 
 def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -261,7 +261,7 @@ def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tok.decode(ids).encode()).hexdigest()
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _mapped(docs, path, row, fields, text_col, (text_col,))
+    return mapped(docs, path, row, fields, text_col, (text_col,))
 
 
 def default_path() -> str:

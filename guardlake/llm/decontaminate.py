@@ -164,17 +164,18 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
     yield block
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 200_000) -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 200_000, prefix: str = "") -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (start, end in words, merged) and ``items`` (ids as sorted strings).
 
-    Columns of those names in ``docs`` are replaced. A null text has no words; items that
+    The new names get ``prefix``; columns so named in ``docs`` are replaced. A null text has no words; items that
     are null, empty or without words are in no document; rows that repeat each get their
     result. Further blocks of items read the result of the block before.
     """
     sc = docs.sparkSession.sparkContext
-    plain = docs.drop("n_words", "spans", "items")
+    new = [prefix + c for c in ("n_words", "spans", "items")]
+    plain = docs.drop(*new)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*plain.schema.fields, T.StructField(new[0], T.LongType()), T.StructField(new[1], span), T.StructField(new[2], T.ArrayType(T.StringType()))])
     at, n = plain.columns.index(text_col), len(plain.columns)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -229,27 +230,28 @@ def word_ends(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_coverage: float = 0.5, **options) -> DataFrame:
-    """``docs`` without benchmark passages: matched spans are cut out of the text, and a document
-    of whose words more than ``max_coverage`` are matched is dropped. Others stay as they are."""
-    found = contaminated_spans(docs.select(id_col, text_col).distinct(), benchmark, id_col, text_col, **options).where(F.size("spans") > 0)
-    name = F.col(text_col)
-    covered = F.aggregate("spans", F.lit(0), lambda s, x: s + x["end"] - x["start"])
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, ss in zip(text, spans):
+@F.pandas_udf(T.StringType())
+def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for t, ss in zip(text, spans):
+        if t is not None:
             data = t.encode()
             at = word_ends(data)
             for s in reversed(list(ss)):
                 data = data[: at[s["start"]][0]] + data[at[s["end"] - 1][1] :]
-            out.append(data.decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+            t = data.decode("utf-8", "replace")
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
 
-    hit = saved(found.select(id_col, name.alias("_old"), (covered > max_coverage * F.col("n_words")).alias("_drop"), cut(name, "spans").alias("_new")))
-    out = docs.join(hit, (docs[id_col] == hit[id_col]) & (docs[text_col] == hit["_old"]), "left").where("_drop is null or not _drop")
-    return out.select(*(F.coalesce("_new", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_coverage: float = 0.5, **options) -> DataFrame:
+    """``docs`` without benchmark passages: matched spans are cut out of the text, and a document
+    of whose words more than ``max_coverage`` are matched is dropped. Others stay as they are."""
+    found = contaminated_spans(docs, benchmark, id_col, text_col, prefix="_hit_", **options)
+    covered = F.aggregate("_hit_spans", F.lit(0), lambda s, x: s + x["end"] - x["start"])
+    hit = F.size("_hit_spans") > 0
+    text = F.when(hit, _cut(F.when(hit, F.col(text_col)), "_hit_spans")).otherwise(F.col(text_col))
+    return found.where(~hit | (covered <= max_coverage * F.col("_hit_n_words"))).withColumn(text_col, text).select(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

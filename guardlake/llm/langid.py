@@ -113,7 +113,7 @@ def _sums(df: DataFrame, by: list[str], size: int) -> DataFrame:
     return out.select(*by, F.array(*(f"s{i}" for i in range(size))).alias("s"), sum((F.col(f"s{i}") for i in range(size)), F.lit(0.0)).alias("t"))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", suffix_col: str | None = None, pull: float = 20.0, temper: float = 0.1, least: float = 0.5, least_letters: int = 8) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", suffix_col: str | None = None, pull: float = 20.0, temper: float = 0.1, least: float = 0.5, least_letters: int = 3) -> DataFrame:
     """``(id_col, declared, language, confidence, accepted)`` for every row.
 
     ``pull`` is the weight of the broader prior in documents, ``temper`` scales the text's
