@@ -6,6 +6,7 @@ only where that is unset (tests, notebooks) is a temporary folder used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,12 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/guardlake-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
+def saved(df: DataFrame, release: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
+
+    With ``release`` the JVM collects its garbage, upon which Spark deletes the shuffle
+    files of plans that nothing refers to any more.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+    return out
 
 
 def drop_saved(df: DataFrame) -> None:

@@ -5,13 +5,16 @@ A window is ``length`` consecutive words. Its seed is the smallest hash among it
 windows with one seed form a run of some words more than ``length``. Documents meet on
 seeds only:
 
-1. seeds that occur once in the corpus cannot lie in a repeat; those that occur more
-   often are kept as a bitmap of bounded size (a false positive costs work, no result);
+1. seeds that occur once in the corpus cannot lie in a repeat, those that occur more
+   often can;
 2. runs with such a seed are joined on seed and hash: of equal runs all but the first
    are repeats as a whole, which is the extension of a seed to both sides;
 3. runs that share the seed but not all words (the ends of a passage) are compared
    window by window among the first runs only.
 
+Between the steps, what is to be looked at again (seeds, runs, windows, documents) is
+handed back to the scan as a bitmap of hashes of bounded size, whatever the corpus; a
+false positive costs work and changes no result, as every step joins on the keys.
 Nothing groups a seed's occurrences in one task: counts and firsts are aggregated before
 the shuffle, the joins are plain equi-joins that adaptive execution splits. Windows are
 told apart by the seed and a second 64-bit hash.
@@ -21,9 +24,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +78,30 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), text.alias("t"))
 
 
+def _identity(doc: pa.Array, extra: np.ndarray | int = 0) -> np.ndarray:
+    """A hash of each document id, and of a number beside it."""
+    if pa.types.is_integer(doc.type):
+        h = np.asarray(doc.cast(pa.int64())).view(np.uint64)
+    else:
+        h = np.array([xxhash.xxh64_intdigest(str(x)) for x in doc.to_pylist()], np.uint64)
+    return W.mix(W.mix(h) + np.asarray(extra).astype(np.uint64))
+
+
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The leading bits of the longs in column ``h`` as a set: 2**bits bits, 4 MB for 25."""
+    at = F.shiftrightunsigned("h", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - bits}) & 63))")
+    words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["at"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return out
+
+
+def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - (len(bitmap).bit_length() + 5))
+    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _seeds(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,72 +109,89 @@ def _seeds(length: int, gram: int):
                 if (r := runs(data, offsets, length, gram)) is not None:
                     seed, n = np.unique(r["seed"], return_counts=True)
                     n += np.isin(seed, r["seed"][r["twice"]])
-                    yield pa.record_batch([pa.array(seed.view(np.int64)), pa.array(n)], names=["seed", "n"])
+                    yield pa.record_batch([pa.array(seed.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     return run
 
 
-def _runs(length: int, gram: int, bitmap, bits: int):
+def _runs(length: int, gram: int, seeds, instances=None):
+    """The runs with one of the seeds, or the given instances of runs with the hashes of their windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, _, data, offsets in W.pieces(b.column(1)):
                 if (r := runs(data, offsets, length, gram)) is None:
                     continue
-                place = r["seed"] >> np.uint64(64 - bits)
-                hit = np.flatnonzero(bitmap.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                hit = np.flatnonzero(_in(seeds.value, r["seed"]))
+                doc = b.column(0).take(pa.array(at + r["row"][hit]))
+                if instances is not None:
+                    some = np.flatnonzero(_in(instances.value, r["hash"][hit] ^ _identity(doc, r["start"][hit])))
+                    hit, doc = hit[some], doc.take(pa.array(some))
                 first, n = r["first"][hit], r["n"][hit]
-                ends = np.cumsum(n)
-                each = np.repeat(first - np.append(0, ends[:-1]) if len(hit) else first, n) + np.arange(int(n.sum()))
-                blobs = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer((np.append(0, ends) * 8).astype(np.int32)), pa.py_buffer(r["windows"][each])])
-                yield pa.record_batch(
-                    [b.column(0).take(pa.array(at + r["row"][hit])), pa.array(r["start"][hit].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(r["seed"][hit].view(np.int64)), pa.array(r["hash"][hit].view(np.int64)), pa.array(r["twice"][hit]), blobs],
-                    names=["doc", "start", "n", "seed", "hash", "twice", "windows"],
-                )
+                out = [doc, pa.array(r["start"][hit].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(r["seed"][hit].view(np.int64)), pa.array(r["hash"][hit].view(np.int64)), pa.array(r["twice"][hit])]
+                if instances is not None:
+                    ends = np.append(0, np.cumsum(n))
+                    each = np.repeat(first - ends[:-1], n) + np.arange(ends[-1])
+                    out.append(pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(r["windows"][each]))]))
+                yield pa.record_batch(out, names=["doc", "start", "n", "seed", "hash", "twice", "windows"][: len(out)])
 
     return run
 
 
-def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
-            n = np.asarray(b.column("n")).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            hashes = np.frombuffer(b"".join(b.column("windows").to_pylist()), np.int64)
-            yield pa.record_batch([b.column("seed").take(pa.array(row)), pa.array(hashes), b.column("doc").take(pa.array(row)), pa.array((np.asarray(b.column("start"))[row] + step).astype(np.int32))], names=["seed", "w", "doc", "start"])
+def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h = np.asarray(b.column("hash")).view(np.uint64) ^ _identity(b.column("doc"), np.asarray(b.column("start")))
+        yield pa.record_batch([pa.array(h.view(np.int64))], names=["h"])
+
+
+def _unfold(windows=None, all_columns: bool = True):
+    """A row for each window of a run, or for those in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                n = np.asarray(b.column("n")).astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                w = np.frombuffer(b"".join(b.column("windows").to_pylist()), np.int64)
+                if not all_columns:
+                    yield pa.record_batch([pa.array(w)], names=["h"])
+                    continue
+                hit = np.flatnonzero(_in(windows.value, w.view(np.uint64)))
+                row, start = row[hit], np.asarray(b.column("start"))[row[hit]] + step[hit]
+                yield pa.record_batch([b.column("seed").take(pa.array(row)), pa.array(w[hit]), b.column("doc").take(pa.array(row)), pa.array(start.astype(np.int32))], names=["seed", "w", "doc", "start"])
+
+    return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bits: int = 26) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bits: int = 25) -> DataFrame:
     """``(id_col, start, end)``: word ranges, not merged, covered by windows that also start earlier.
 
     Earlier is a smaller id, or the same id and an earlier word. Rows with a null id
     take no part; rows that repeat an id count as one document.
     """
-    spark = docs.sparkSession
+    send = docs.sparkSession.sparkContext.broadcast
     src = _texts(docs, id_col, text_col).where("doc is not null")
-    doc = src.schema["doc"].dataType
-    common = src.mapInArrow(_seeds(length, gram), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
-    place = F.shiftrightunsigned("seed", 64 - bits)
-    marks = common.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(shiftrightunsigned(seed, %d) & 63))" % (64 - bits))).alias("b"))
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)  # bounded: 2**bits bits, 8 MB by default
-    for part in [marks.toPandas()]:
-        bitmap[part["at"].to_numpy(np.int64)] = part["b"].to_numpy(np.int64).view(np.uint64)
-    fields = [T.StructField("doc", doc), *(T.StructField(k, t()) for k, t in (("start", T.IntegerType), ("n", T.IntegerType), ("seed", T.LongType), ("hash", T.LongType), ("twice", T.BooleanType), ("windows", T.BinaryType)))]
-    found = saved(src.mapInArrow(_runs(length, gram, spark.sparkContext.broadcast(bitmap), bits), T.StructType(fields)))
+    long, integer = T.LongType(), T.IntegerType()
+    run = [src.schema["doc"], T.StructField("start", integer), T.StructField("n", integer), T.StructField("seed", long), T.StructField("hash", long), T.StructField("twice", T.BooleanType())]
     key = ["seed", "hash"]
-    first = found.groupBy(*key).agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("k"))
-    first = saved(first.select(*key, F.col("f.doc").alias("d0"), F.col("f.start").alias("s0"), "k"))
-    again = found.select("doc", "start", "n", *key).join(first.where("k > 1"), key).where("doc <> d0 or start <> s0")
-    copies = again.select("doc", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
-    several = first.groupBy("seed").agg(F.count("*").alias("m")).where("m > 1").select("seed", F.lit(True).alias("several"))
-    ends = (
-        found.join(first.select(*key, F.col("d0").alias("doc"), F.col("s0").alias("start")), [*key, "doc", "start"], "left_semi")
-        .join(several, "seed", "left").where("several or twice").select("doc", "start", "n", "seed", "windows").dropDuplicates(["seed", "doc", "start"])
-    )
-    each = T.StructType([T.StructField("seed", T.LongType()), T.StructField("w", T.LongType()), T.StructField("doc", doc), T.StructField("start", T.IntegerType())])
-    single = saved(ends.mapInArrow(_unfold, each))
-    least = saved(single.groupBy("seed", "w").agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("k")).where("k > 1").select("seed", "w", F.col("f.doc").alias("d0"), F.col("f.start").alias("s0")))
+    common = src.mapInArrow(_seeds(length, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    seeds = send(_bitmap(common, bits))
+    found = saved(src.mapInArrow(_runs(length, gram, seeds), T.StructType(run)), True)
+    first = found.groupBy(*key).agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("k"), F.max("twice").alias("twice"))
+    first = saved(first.select(*key, F.col("f.doc").alias("d0"), F.col("f.start").alias("s0"), "k", "twice"), True)
+    again = found.select("doc", "start", "n", *key).join(first.where("k > 1").select(*key, "d0", "s0"), key).where("doc <> d0 or start <> s0")
+    copies = saved(again.select("doc", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end")), True)
+    several = first.groupBy("seed").agg(F.count("*").alias("m"), F.max("twice").alias("t")).where("m > 1 or t").select("seed")
+    ends = saved(first.join(several, "seed").select(F.col("d0").alias("doc"), F.col("s0").alias("start"), "hash"), True)
+    instances = send(_bitmap(ends.mapInArrow(_instances, "h long"), bits))
+    ends = saved(src.mapInArrow(_runs(length, gram, seeds, instances), T.StructType([*run, T.StructField("windows", T.BinaryType())])), True)
+    more = ends.mapInArrow(_unfold(all_columns=False), "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    each = T.StructType([T.StructField("seed", long), T.StructField("w", long), run[0], run[1]])
+    single = ends.mapInArrow(_unfold(send(_bitmap(more, bits))), each)
+    least = single.groupBy("seed", "w").agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("k")).where("k > 1")
+    least = saved(least.select("seed", "w", F.col("f.doc").alias("d0"), F.col("f.start").alias("s0")), True)
     late = single.join(least, ["seed", "w"]).where("doc <> d0 or start <> s0").select("doc", "start", (F.col("start") + length).alias("end"))
     return copies.union(late).withColumnRenamed("doc", id_col)
 
@@ -160,40 +206,56 @@ def _merged(found: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            b = whole.slice(at, 500)
-            n_words, n_removed, kept = [], [], []
-            for text, found in zip(b.column(1), b.column(2)):
-                ws = text.as_py().split()
-                n_words.append(len(ws))
-                for s, e in reversed(_merged(found.as_py())):
-                    del ws[s:e]
-                n_removed.append(n_words[-1] - len(ws))
-                kept.append(b" ".join(ws))
-            yield pa.record_batch([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc", "n_words", "n_removed", "kept"])
+def _kept(digest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                n_words, n_removed, kept = [], [], []
+                for text, found in zip(b.column(1), b.column(2) if b.num_columns > 2 else repeat(None)):
+                    ws = text.as_py().split()
+                    n_words.append(len(ws))
+                    for s, e in reversed(_merged(found.as_py() if found is not None else None)):
+                        del ws[s:e]
+                    n_removed.append(n_words[-1] - len(ws))
+                    text = b" ".join(ws)
+                    kept.append(hashlib.sha256(text).hexdigest() if digest else text)
+                yield pa.record_batch([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())], names=["doc", "n_words", "n_removed", "kept"])
+
+    return run
+
 
+def _only(bitmap, inside: bool):
+    """The rows whose document is, or is not, in the bitmap."""
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_in(bitmap.value, _identity(b.column(0).fill_null(0 if pa.types.is_integer(b.column(0).type) else ""))) == inside))
+
+    return run
+
+
+def _doc_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([pa.array(_identity(b.column(0)).view(np.int64))], names=["h"])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False, bits: int = 25) -> DataFrame:
     """``(id_col, n_words, n_removed, kept_text)`` per row: the words outside repeated passages, joined by one space.
 
     With ``digest`` the last column is ``kept_sha256``. Null and empty texts have no words;
     texts shorter than ``length`` words keep all; an empty table gives an empty result.
+    Only documents with repeats are shuffled with their text.
     """
-    spans = repeated_spans(docs, id_col, text_col, length).groupBy(F.col(id_col).alias("doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    src = _texts(docs, id_col, text_col).join(saved(spans), "doc", "left").select("doc", "t", "spans")
-    if not digest:
-        out = T.StructType([src.schema["doc"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
-        return src.mapInArrow(_kept, out).select(F.col("doc").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _kept(batches):
-            sha = pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in b.column("kept")])
-            yield pa.record_batch([*b.columns[:3], sha], names=["doc", "n_words", "n_removed", "kept_sha256"])
-
-    out = T.StructType([src.schema["doc"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return src.mapInArrow(run, out).withColumnRenamed("doc", id_col)
+    found = repeated_spans(docs, id_col, text_col, length, bits=bits).groupBy(F.col(id_col).alias("doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = saved(found, True)
+    with_spans = docs.sparkSession.sparkContext.broadcast(_bitmap(found.select("doc").mapInArrow(_doc_hashes, "h long"), bits))
+    src = _texts(docs, id_col, text_col)
+    out = T.StructType([src.schema["doc"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType() if digest else T.BinaryType())])
+    whole = src.mapInArrow(_only(with_spans, False), src.schema).mapInArrow(_kept(digest), out)
+    cut = src.mapInArrow(_only(with_spans, True), src.schema).join(found, "doc", "left").select("doc", "t", "spans").mapInArrow(_kept(digest), out)
+    kept = F.col("kept").alias("kept_sha256") if digest else F.col("kept").cast("string").alias("kept_text")
+    return whole.union(cut).select(F.col("doc").alias(id_col), "n_words", "n_removed", kept)
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
