@@ -47,7 +47,7 @@ def ranges(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -
     return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
-def pieces(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """A binary column without nulls in slices of whole rows, of about ``limit`` bytes at most
     (or one row): first row, number of rows, bytes, offsets into them."""
     n = len(column)
