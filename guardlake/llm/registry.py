@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import bpe, decontaminate, langid, quality, simhash, substring, urls, warc
+from guardlake.llm import bpe, decontaminate, langid, mixing, quality, simhash, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urls": urls.op2_urls,
     "op3_quality": quality.op3_quality,
+    "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.op5_warc,
     "op6_langid": langid.op6_langid,
     "langid_pages": langid.langid_pages,
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_urls": urls.oracle(),
     "op3_quality": quality.op3_quality,
+    "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.ORACLE,
 }
