@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import bpe, decontaminate, langid, mixing, quality, simhash, substring, urls, warc
+from guardlake.llm import bpe, decontaminate, hnsw, langid, mixing, quality, simhash, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw": hnsw.op1_hnsw,
     "op2_urls": urls.op2_urls,
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
