@@ -48,7 +48,7 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
 def claim(results: DataFrame, events: DataFrame, keys: list[str], tolerance: int, chain: str = "_chain") -> DataFrame:
     """Greedy one-to-one claim: results in order of ``seq`` each take the nearest event not yet taken,
     the first on ties. Order matters only among rows that can compete, so rows are cut into chains at
-    gaps wider than the tolerance, and each (keys, chain) is one small group.
+    gaps wider than the tolerance, and chains are claimed one by one, 500 to a task's call.
     """
     both = results.select(*keys, "seq", "ts", F.lit(0).alias("kind")).union(events.select(*keys, "seq", "ts", F.lit(1).alias("kind")))
     both = both.withColumn("t", micros("ts")).drop("ts")
@@ -56,19 +56,18 @@ def claim(results: DataFrame, events: DataFrame, keys: list[str], tolerance: int
     cut = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("long"), F.lit(1))
     both = both.withColumn("_cut", cut).withColumn(chain, F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        free = g[g.kind == 1].sort_values("seq")
-        left = dict(zip(free.seq, free.t))
+    def run(many: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for seq, t in g[g.kind == 0].sort_values("seq")[["seq", "t"]].itertuples(index=False):
-            best = None
-            for e, at in left.items():
-                d = abs(at - t)
-                if d <= tolerance and (best is None or d < best[0]):
-                    best = (d, e)
-            if best:
-                del left[best[1]]
-            out.append((seq, best[1] if best else None, best[0] if best else None))
+        for _, g in many.groupby(chain):
+            free = g[g.kind == 1].sort_values("seq")
+            left = dict(zip(free.seq, free.t))
+            for seq, t in g[g.kind == 0].sort_values("seq")[["seq", "t"]].itertuples(index=False):
+                near = min(((abs(at - t), e) for e, at in left.items()), default=None)
+                if near and near[0] <= tolerance:
+                    del left[near[1]]
+                else:
+                    near = (None, None)
+                out.append((seq, near[1], near[0]))
         return pd.DataFrame(out, columns=["seq", "event_seq", "distance"]).astype({"event_seq": "Int64", "distance": "Int64"})
 
-    return both.groupBy(*keys, chain).applyInPandas(run, "seq long, event_seq long, distance long")
+    return both.groupBy(*keys, F.floor(F.col(chain) / 500)).applyInPandas(run, "seq long, event_seq long, distance long")

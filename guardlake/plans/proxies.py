@@ -69,7 +69,7 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current violations: a row per line item, with the reference's id format."""
     i = table(spark, sf_dir, "lineitem")
     stable = F.concat_ws("|", F.concat(F.lit("rule"), (F.col("l_linenumber")).cast("string")), F.concat(F.lit("file"), (F.col("l_partkey") % 500).cast("string")), F.concat(F.lit("id"), (F.col("l_suppkey")).cast("string")))
-    return i.where(F.col("l_quantity") <= 40).select(F.concat(F.lit("rule"), F.col("l_linenumber").cast("string")).alias("rule"), stable.alias("stable_id")).distinct()
+    return i.where(F.col("l_quantity") <= 45).select(F.concat(F.lit("rule"), F.col("l_linenumber").cast("string")).alias("rule"), stable.alias("stable_id")).distinct()
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +95,5 @@ HR = RF + """, hr as (select session_id, day, min(seq) as seq, min(ts) as ts, ar
  from (select *, strftime(ts, '%Y-%m-%d') as day from rf) group by session_id, day)"""
 SR = """sr as (select o_orderkey as seq, o_orderpriority as command, case when o_orderstatus = 'F' then 1 else 0 end as returncode, o_totalprice as duration_ms, 'err' || o_custkey as stderr from orders)"""
 _ID = "'rule' || l_linenumber || '|file' || (l_partkey % 500) || '|id' || l_suppkey"
-VB = f"""cur as (select distinct 'rule' || l_linenumber as rule, {_ID} as stable_id from lineitem where l_quantity <= 40),
+VB = f"""cur as (select distinct 'rule' || l_linenumber as rule, {_ID} as stable_id from lineitem where l_quantity <= 45),
  base as (select distinct 'rule' || l_linenumber as rule, {_ID} as stable_id from lineitem where l_quantity >= 10)"""
