@@ -1,5 +1,5 @@
 """Queries on the supplied tables: name -> (query, DuckDB SQL or None)."""
 
-from guardlake.plans import metric_queries, session_queries
+from guardlake.plans import corpus_queries, metric_queries, session_queries
 
-QUERIES = {**metric_queries.QUERIES, **session_queries.QUERIES}
+QUERIES = {**metric_queries.QUERIES, **session_queries.QUERIES, **corpus_queries.QUERIES}
