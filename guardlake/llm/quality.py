@@ -84,21 +84,21 @@ def _known(key: np.ndarray, f: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
     return pair // len(key), pair % len(key)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 400) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 200) -> np.ndarray:
     """Weights and offset of a ridge logistic regression, by accelerated gradient steps."""
-    z = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    shrink = np.append(np.full(x.shape[1], ridge), 1e-6)
-    v = np.ones(z.shape[1], x.dtype)
+    z = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    shrink = np.append(np.full(x.shape[1], ridge), 1e-6).astype(np.float32)
+    v = np.ones(z.shape[1], np.float32)
     for _ in range(15):  # the largest eigenvalue bounds the step
         v = z.T @ (z @ v)
         top = np.linalg.norm(v)
         v /= top
-    rate = 1 / (top / 4 + ridge)
-    w = ahead = np.zeros(z.shape[1])
+    rate = np.float32(1 / (top / 4 + ridge))
+    w = ahead = np.zeros(z.shape[1], np.float32)
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ ahead, -35, 35)))
         new = ahead - rate * (z.T @ (p - y) + shrink * ahead)
-        ahead = new + k / (k + 3) * (new - w)
+        ahead = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 
@@ -140,8 +140,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     at = at.chunk(0) if isinstance(at, pa.ChunkedArray) else at
     x = np.zeros((rows.num_rows, len(key)), np.float32)
     x[np.repeat(np.arange(rows.num_rows), np.asarray(at.value_lengths())), np.asarray(at.flatten())] = 1
-    weights = [_logistic(x, rows[t].to_numpy().astype(np.float32)) for t in TARGETS]
-    return {"key": key, "weight": np.stack([w[:-1] for w in weights], axis=1), "offset": [float(w[-1]) for w in weights]}
+    weight, offset = np.zeros((len(key), len(TARGETS))), []
+    for j, t in enumerate(TARGETS):
+        own = np.searchsorted(key, np.sort(best[j].view(np.uint64)))
+        w = _logistic(x[:, own], rows[t].to_numpy().astype(np.float32))
+        weight[own, j] = w[:-1]
+        offset.append(float(w[-1]))
+    return {"key": key, "weight": weight, "offset": offset}
 
 
 def _rated(model):
