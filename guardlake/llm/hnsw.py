@@ -83,7 +83,23 @@ class Graph:
             links[batch], weights[batch] = select(sims, ids, self.vectors, m)
             self._back(links, weights, batch, m)
             done += len(batch)
-        return links
+        return self._reached(links, nodes)
+
+    @staticmethod
+    def _reached(links: np.ndarray, nodes: np.ndarray, least: int = 4, more: int = 8) -> np.ndarray:
+        """Nodes that hardly any list names, as pruning left them, get a place with their own neighbours."""
+        flat = links[nodes].ravel()
+        named = np.bincount(flat[flat >= 0], minlength=len(links))
+        extra = np.full((len(links), more), -1, np.int32)
+        used = np.zeros(len(links), np.int64)
+        for x in nodes[named[nodes] < least].tolist():
+            need = least - int(named[x])
+            for y in links[x].tolist():
+                if need > 0 and y >= 0 and used[y] < more and x not in links[y]:
+                    extra[y, used[y]] = x
+                    used[y] += 1
+                    need -= 1
+        return np.concatenate([links, extra], axis=1)
 
     def _back(self, links: np.ndarray, weights: np.ndarray, batch: np.ndarray, m: int) -> None:
         """Adds the links back to the new nodes; full lists are selected anew."""
@@ -161,7 +177,7 @@ class Graph:
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def links_in(graph: Graph, vectors: np.ndarray, queries: np.ndarray, cosine: float, audit: np.ndarray, recall: float = 0.999, beam: int = 96) -> tuple[np.ndarray, np.ndarray, float]:
+def links_in(graph: Graph, vectors: np.ndarray, queries: np.ndarray, cosine: float, audit: np.ndarray, recall: float = 0.99, beam: int = 96) -> tuple[np.ndarray, np.ndarray, float]:
     """Pairs (query, node) with a cosine of ``cosine`` or more, and the recall that the audit found.
 
     ``vectors`` and ``queries`` are unit vectors in double precision; ``audit`` are the
