@@ -60,7 +60,8 @@ def prefixes(path: Column) -> Column:
 
 
 def trimmed(text: Column, limit: int) -> Column:
-    return F.when(F.length(text) > limit, F.concat(text.substr(1, limit - 1), F.lit("…"))).otherwise(text)
+    """Cut to ``limit`` characters, with a mark where something was cut."""
+    return F.when(F.length(text) > limit, F.concat(text.substr(1, limit), F.lit("…[trimmed]"))).otherwise(text)
 
 
 def effective_path(path: Column, hits: Column) -> Column:

@@ -12,7 +12,7 @@ KEY = ("session_id", "rule_id", "path", "attempt")
 
 def escalated(findings: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Denials with their count so far: from the second on text is added, from the third on they block at HIGH or more."""
-    hits = findings.where(is_in(F.col("decision"), ENFORCEMENT)).fillna({"path": "__pathless__", "attempt": "__unknown_attempt__"}, subset=[k for k in ("path", "attempt") if k in key])
+    hits = findings.where(is_in(F.col("decision"), ENFORCEMENT)).fillna({k: v for k, v in {"path": "__pathless__", "attempt": "__unknown_attempt__"}.items() if k in key} or {key[0]: ""})
     n = F.row_number().over(Window.partitionBy(*key).orderBy("seq")).cast("long")
     hits = hits.withColumn("repeat", n)
     third = F.col("repeat") >= 3

@@ -108,7 +108,7 @@ select rule_id, decision, severity, count(*) as n from o group by 1, 2, 3""",
     ),
     "trim_project": (
         lambda s, d: X.table(s, d, "documents").select("doc_id", P.trimmed(F.col("text"), 180).alias("preview")),
-        "select doc_id, case when length(text) > 180 then substr(text, 1, 179) || '…' else text end as preview from documents",
+        "select doc_id, case when length(text) > 180 then substr(text, 1, 180) || '…[trimmed]' else text end as preview from documents",
     ),
     "tail_n": (
         lambda s, d: X.hook_events(s, d).withColumn("p", F.row_number().over(Window.partitionBy("event_name").orderBy(F.desc("seq")))).where("p <= 600").select("seq", "event_name"),
