@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardlake.llm import bpe
-from guardlake.llm.common import saved, table
+from guardlake.llm.common import saved, small_batches, table
 from guardlake.llm.decontaminate import remove_contamination
 from guardlake.llm.langid import identify
 from guardlake.llm.simhash import simhash_components
@@ -28,6 +28,8 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no identified language go; the others' ``lang`` is the one identified."""
+    small_batches(spark)
+    docs = docs.select(*COLUMNS)
     found = identify(docs).groupBy("doc_id").agg(F.min("language").alias("language"), F.min("accepted").alias("accepted"))
     changed = saved(found.join(docs.select("doc_id", "lang").distinct(), "doc_id").where("not accepted or lang is null or lang <> language").select("doc_id", "language", "accepted"))
     named = docs.join(changed.dropDuplicates(["doc_id"]), "doc_id", "left").where("accepted is null or accepted")
@@ -36,6 +38,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest id."""
+    small_batches(spark)
+    docs = docs.select(*COLUMNS)
     gone = saved(simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
@@ -44,6 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages seen earlier are cut; a document of which nothing is left goes."""
+    small_batches(spark)
+    docs = docs.select(*COLUMNS)
     cut = saved(remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"]))
     text = F.coalesce("kept_text", "text")
     return _measured(docs.join(cut, "doc_id", "left").where("kept_text is null or kept_text <> ''").withColumn("text", text))
@@ -51,11 +57,15 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut; a document that is mostly such passages goes."""
+    small_batches(spark)
+    docs = docs.select(*COLUMNS)
     return _measured(remove_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with a digest of what they decode to."""
+    small_batches(spark)
+    docs = docs.select(*COLUMNS)
 
     def row(tok: bpe.Tokenizer, text: str) -> tuple:
         ids = tok.encode(text)
