@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardlake.llm import bpe
-from guardlake.llm.common import saved, small_batches, table
+from guardlake.llm.common import gathered, saved, small_batches, table
 from guardlake.llm.decontaminate import remove_contamination
 from guardlake.llm.langid import identify
 from guardlake.llm.simhash import simhash_components
@@ -59,7 +59,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Benchmark passages are cut; a document that is mostly such passages goes."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)
-    return _measured(remove_contamination(docs, table(spark, sf_dir, "benchmark")))
+    return gathered(_measured(remove_contamination(docs, table(spark, sf_dir, "benchmark"))))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return len(ids) // 4, ids, hashlib.sha256(tok.decode(ids).encode()).hexdigest()
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField("decoded_sha256", T.StringType())]
-    return bpe.mapped(docs.select("doc_id", "lang", "source", "text"), bpe.default_path(), row, fields, "text", ("text",))
+    return gathered(bpe.mapped(docs.select("doc_id", "lang", "source", "text"), bpe.default_path(), row, fields, "text", ("text",)))
 
 
 STAGES = [

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardlake.llm.common import table
+from guardlake.llm.words import trim
 
 END = "</w>"
 #: Unicode White_Space.
@@ -134,7 +135,7 @@ class TokenAutomaton:
                     key = p << 20 | t
                     ok = known.get(key)
                     if ok is None:
-                        if len(known) > 500_000:
+                        if len(known) > 300_000:
                             known.clear()
                         ok = known[key] = arc(p, t)
                     if ok:
@@ -170,7 +171,7 @@ class Tokenizer:
             if got is None:
                 word = "".join([self.bytes[b] for b in piece.encode()])
                 got = np.array(self.auto.encode(word), "<u4").tobytes()
-                if len(self._words) >= 300_000:
+                if len(self._words) >= 150_000:
                     self._words.clear()
                 self._words[piece] = got
             out.append(got)
@@ -183,7 +184,7 @@ class Tokenizer:
             got = memo.get(c)
             if got is None:
                 got = self._chunk(c)
-                if len(memo) >= 500_000:
+                if len(memo) >= 250_000:
                     memo.clear()
                 memo[c] = got
             out.append(got)
@@ -235,6 +236,7 @@ def mapped(docs: DataFrame, path: str, row, fields: list[T.StructField], text_co
                 b = whole.slice(first, 500)
                 new = [row(tok, t.as_py() or "") for t in b.column(at)]
                 yield pa.record_batch([*(b.column(i) for i in keep), *(pa.array([r[i] for r in new], t) for i, t in enumerate(types))], names=schema.names)
+        trim()
 
     return src.mapInArrow(run, schema)
 

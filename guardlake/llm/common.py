@@ -14,7 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts take 1000 rows unless the session says otherwise: two workers
+    of an executor hold a batch each, in and out, beside the JVM's copies."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/guardlake-{uuid.uuid4().hex}"
 
 
+def gathered(df: DataFrame, splits: int = 3) -> DataFrame:
+    """A result of a scan alone with ``splits`` input splits to a task, as long as there are two tasks
+    a core: fewer and larger files where each split leaves little."""
+    n = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // splits)))
+
+
 def saved(df: DataFrame, release: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
 

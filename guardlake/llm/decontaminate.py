@@ -16,13 +16,13 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardlake.llm.common import saved, table
+from guardlake.llm.words import trim
 
 WINDOW = 10
 #: A-Z to a-z; bytes 00-2F, 3A-60 and 7B-7F to a space.
@@ -164,12 +164,13 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
     yield block
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 200_000, prefix: str = "") -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 200_000, prefix: str = "", finish=None) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (start, end in words, merged) and ``items`` (ids as sorted strings).
 
     The new names get ``prefix``; columns so named in ``docs`` are replaced. A null text has no words; items that
     are null, empty or without words are in no document; rows that repeat each get their
-    result. Further blocks of items read the result of the block before.
+    result. Further blocks of items read the result of the block before. ``finish`` may
+    turn each batch of the last block into one of the schema of ``docs``, in the same pass.
     """
     sc = docs.sparkSession.sparkContext
     new = [prefix + c for c in ("n_words", "spans", "items")]
@@ -179,7 +180,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     at, n = plain.columns.index(text_col), len(plain.columns)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def scan(block, key: str):
+    def scan(block, key: str, last=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = _automaton(key, block, window)
             for whole in batches:
@@ -198,16 +199,18 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                         spans.append([{"start": x, "end": y} for x, y in found])
                         items.append(sorted(names))
                     columns = [*b.columns[:n], pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))]
-                    yield pa.record_batch(columns, names=schema.names)
+                    batch = pa.record_batch(columns, names=schema.names)
+                    yield batch if last is None else last(batch)
+            trim()
 
         return run
 
-    out, several = plain, False
+    out, before = plain, None
     for block in item_blocks(benchmark, item_id, item_text, block_words):
-        if several:
-            out = saved(out)
-        out, several = out.mapInArrow(scan(sc.broadcast(block), uuid.uuid4().hex), schema), True
-    return out
+        if before is not None:
+            out = saved(out.mapInArrow(scan(*before), schema))
+        before = sc.broadcast(block), uuid.uuid4().hex
+    return out.mapInArrow(scan(*before, finish), plain.schema if finish else schema)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -230,28 +233,26 @@ def word_ends(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for t, ss in zip(text, spans):
-        if t is not None:
-            data = t.encode()
-            at = word_ends(data)
-            for s in reversed(list(ss)):
-                data = data[: at[s["start"]][0]] + data[at[s["end"] - 1][1] :]
-            t = data.decode("utf-8", "replace")
-        out.append(t)
-    return pd.Series(out, dtype=object)
-
-
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_coverage: float = 0.5, **options) -> DataFrame:
     """``docs`` without benchmark passages: matched spans are cut out of the text, and a document
     of whose words more than ``max_coverage`` are matched is dropped. Others stay as they are."""
-    found = contaminated_spans(docs, benchmark, id_col, text_col, prefix="_hit_", **options)
-    covered = F.aggregate("_hit_spans", F.lit(0), lambda s, x: s + x["end"] - x["start"])
-    hit = F.size("_hit_spans") > 0
-    text = F.when(hit, _cut(F.when(hit, F.col(text_col)), "_hit_spans")).otherwise(F.col(text_col))
-    return found.where(~hit | (covered <= max_coverage * F.col("_hit_n_words"))).withColumn(text_col, text).select(*docs.columns)
+    at, n = docs.columns.index(text_col), len(docs.columns)
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, keep = [], []
+        for text, words, spans in zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist()):
+            keep.append(sum(s["end"] - s["start"] for s in spans) <= max_coverage * words or not spans)
+            if spans and keep[-1]:
+                data = text.encode()
+                place = word_ends(data)
+                for s in reversed(spans):
+                    data = data[: place[s["start"]][0]] + data[place[s["end"] - 1][1] :]
+                text = data.decode("utf-8", "replace")
+            texts.append(text)
+        columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:n])]
+        return pa.record_batch(columns, names=b.schema.names[:n]).filter(pa.array(keep, pa.bool_()))
+
+    return contaminated_spans(docs, benchmark, id_col, text_col, prefix="_hit_", finish=cut, **options)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

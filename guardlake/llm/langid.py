@@ -14,7 +14,6 @@ Priors and confusions are sums of the posteriors that the text alone gives.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardlake.llm import words as W
-from guardlake.llm.common import saved, table
+from guardlake.llm.common import gathered, saved, table
 
 BITS = 14
 UNKNOWN = "und"
@@ -43,7 +42,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (code >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(ends, at, "left")
 
 
-def _rows(b: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def _rows(b: pa.RecordBatch, column: int, limit: int = 500_000) -> Iterator[tuple[int, list[str | None]]]:
     """The texts of a batch in runs of about ``limit`` characters at most, or one text."""
     held, first, size = [], 0, 0
     for i, t in enumerate(b.column(column).to_pylist()):
@@ -54,6 +53,7 @@ def _rows(b: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Iterator[tu
         size += len(t or "")
     if held:
         yield first, held
+    W.trim()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def text_model(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(n / n.sum(axis=1, keepdims=True))
 
 
-def _scores(model, at: int, temper: float, key: str):
+def _scores(model, at: int, temper: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = model.value
         for b in batches:
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         return rows.select(F.col("id").alias(id_col), F.col("said").alias("declared"), F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
     k = len(langs)
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType())])
-    scored = saved(rows.mapInArrow(_scores(spark.sparkContext.broadcast(logp), rows.columns.index("text"), temper, uuid.uuid4().hex), schema))
+    scored = saved(gathered(rows.mapInArrow(_scores(spark.sparkContext.broadcast(logp), rows.columns.index("text"), temper), schema)))
     seen = scored.where(F.col("letters") >= least_letters).withColumn("p", softmax("ll"))
     everywhere = _sums(seen, [], k).first()
     total = everywhere["t"] or 0.0

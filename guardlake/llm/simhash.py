@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.common import connected_components, saved, table
+from guardlake.llm.common import connected_components, gathered, saved, table
+from guardlake.llm.words import trim
 
 BITS = 64
 SEED = 42
@@ -64,6 +65,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
+        trim()
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("fp", T.LongType())])
@@ -164,6 +166,7 @@ def _meet(depth: int, radius: int, most: int):
                     held = [x[cut:] for x in held]
         if len(held[0]) and (out := edges(*held)) is not None:
             yield out
+        trim()
 
     return run
 
@@ -174,7 +177,7 @@ def unfolds(depth: int, radius: int) -> np.ndarray:
     return np.array([sum(comb(free, k) for k in range(radius - u + 1)) for u in range(radius + 1)], np.int64)
 
 
-def ball_edges(fps: DataFrame, radius: int = 2, step: int = 12, heavy: int = 2_000_000) -> DataFrame:
+def ball_edges(fps: DataFrame, radius: int = 2, step: int = 12, heavy: int = 1_000_000) -> DataFrame:
     """Edges ``(a, b)`` that connect distinct fingerprints just as all links of up to ``2*radius`` bits do.
 
     ``heavy`` bounds the values that one prefix unfolds to in one task; it only chooses
@@ -209,7 +212,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the input keep one row each; other columns are not looked at. An empty table gives
     an empty result.
     """
-    fp = saved(with_fingerprint(docs, id_col, text_col, words))
+    fp = saved(gathered(with_fingerprint(docs, id_col, text_col, words)))
     classes = saved(fp.groupBy("fp").agg(F.min("id").alias("low")))
     comp = connected_components(ball_edges(classes.select("fp"), radius))
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardlake.llm import words as W
-from guardlake.llm.common import saved, table
+from guardlake.llm.common import gathered, saved, table
 
 LENGTH, GRAM = 20, 5
 
@@ -178,7 +178,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = ["seed", "hash"]
     common = src.mapInArrow(_seeds(length, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     seeds = send(_bitmap(common, bits))
-    found = saved(src.mapInArrow(_runs(length, gram, seeds), T.StructType(run)), True)
+    found = saved(gathered(src.mapInArrow(_runs(length, gram, seeds), T.StructType(run))), True)
     first = found.groupBy(*key).agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("k"), F.max("twice").alias("twice"))
     first = saved(first.select(*key, F.col("f.doc").alias("d0"), F.col("f.start").alias("s0"), "k", "twice"), True)
     again = found.select("doc", "start", "n", *key).join(first.where("k > 1").select(*key, "d0", "s0"), key).where("doc <> d0 or start <> s0")
@@ -186,7 +186,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = first.groupBy("seed").agg(F.count("*").alias("m"), F.max("twice").alias("t")).where("m > 1 or t").select("seed")
     ends = saved(first.join(several, "seed").select(F.col("d0").alias("doc"), F.col("s0").alias("start"), "hash"), True)
     instances = send(_bitmap(ends.mapInArrow(_instances, "h long"), bits))
-    ends = saved(src.mapInArrow(_runs(length, gram, seeds, instances), T.StructType([*run, T.StructField("windows", T.BinaryType())])), True)
+    ends = saved(gathered(src.mapInArrow(_runs(length, gram, seeds, instances), T.StructType([*run, T.StructField("windows", T.BinaryType())]))), True)
     more = ends.mapInArrow(_unfold(all_columns=False), "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
     each = T.StructType([T.StructField("seed", long), T.StructField("w", long), run[0], run[1]])
     single = ends.mapInArrow(_unfold(send(_bitmap(more, bits))), each)
@@ -252,7 +252,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_spans = docs.sparkSession.sparkContext.broadcast(_bitmap(found.select("doc").mapInArrow(_doc_hashes, "h long"), bits))
     src = _texts(docs, id_col, text_col)
     out = T.StructType([src.schema["doc"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType() if digest else T.BinaryType())])
-    whole = src.mapInArrow(_only(with_spans, False), src.schema).mapInArrow(_kept(digest), out)
+    untouched, kept_words = _only(with_spans, False), _kept(digest)
+    whole = src.mapInArrow(lambda batches: kept_words(untouched(batches)), out)
     cut = src.mapInArrow(_only(with_spans, True), src.schema).join(found, "doc", "left").select("doc", "t", "spans").mapInArrow(_kept(digest), out)
     kept = F.col("kept").alias("kept_sha256") if digest else F.col("kept").cast("string").alias("kept_text")
     return whole.union(cut).select(F.col("doc").alias(id_col), "n_words", "n_removed", kept)

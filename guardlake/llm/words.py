@@ -6,6 +6,8 @@ Hashes are polynomial, modulo 2**64, in a fixed odd base, and finally mixed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +49,13 @@ def ranges(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -
     return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on, and share it with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """A binary column without nulls in slices of whole rows, of about ``limit`` bytes at most
     (or one row): first row, number of rows, bytes, offsets into them."""
@@ -59,6 +68,7 @@ def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         to = min(to, n)
         yield at, to - at, whole[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    trim()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
