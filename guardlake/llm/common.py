@@ -38,8 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def gathered(df: DataFrame, splits: int = 3) -> DataFrame:
     """A result of a scan alone with ``splits`` input splits to a task, as long as there are two tasks
-    a core: fewer and larger files where each split leaves little."""
-    n = df._jdf.queryExecution().toRdd().getNumPartitions()
+    a core: fewer and larger files where each split leaves little. A plan with a shuffle stays as it is."""
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():
+        return df
+    n = run.toRdd().getNumPartitions()
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // splits)))
 
 

@@ -184,6 +184,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = found.select("doc", "start", "n", *key).join(first.where("k > 1").select(*key, "d0", "s0"), key).where("doc <> d0 or start <> s0")
     copies = saved(again.select("doc", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end")), True)
     several = first.groupBy("seed").agg(F.count("*").alias("m"), F.max("twice").alias("t")).where("m > 1 or t").select("seed")
+    several = saved(several)  # then the join below deals both sides out plainly, and a hot seed can be split
     ends = saved(first.join(several, "seed").select(F.col("d0").alias("doc"), F.col("s0").alias("start"), "hash"), True)
     instances = send(_bitmap(ends.mapInArrow(_instances, "h long"), bits))
     ends = saved(gathered(src.mapInArrow(_runs(length, gram, seeds, instances), T.StructType([*run, T.StructField("windows", T.BinaryType())]))), True)
