@@ -1,7 +1,8 @@
 """Corpus pipeline: stages over ``documents``, each written as Parquet and read again.
 
 Every stage takes all that its predecessor kept and returns the columns of ``documents``,
-the last one tokens. Rows with a null id stay; a null text has no words and no language.
+the last one tokens. A null text has no words and no language. Ids may be null or repeat:
+stages decide row by row, and of copies the one with the smallest id stays, null ids last.
 """
 
 from __future__ import annotations
@@ -26,33 +27,39 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and the column that tells their rows apart, in the order of ids: ``doc_id`` if it can, else a key written out."""
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").take(1):
+        return docs, "doc_id"
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.xxhash64("lang", "source")]  # many null ids lie in several ranges
+    return saved(docs.orderBy(*order).withColumn("row", F.monotonically_increasing_id()), True), "row"
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no identified language go; the others' ``lang`` is the one identified."""
     small_batches(spark)
-    docs = docs.select(*COLUMNS)
-    found = identify(docs).groupBy("doc_id").agg(F.min("language").alias("language"), F.min("accepted").alias("accepted"))
-    changed = saved(found.join(docs.select("doc_id", "lang").distinct(), "doc_id").where("not accepted or lang is null or lang <> language").select("doc_id", "language", "accepted"))
-    named = docs.join(changed.dropDuplicates(["doc_id"]), "doc_id", "left").where("accepted is null or accepted")
+    docs, key = _keyed(docs.select(*COLUMNS))
+    found = identify(docs, key).select(key, "language", "accepted")
+    changed = saved(found.join(docs.select(key, "lang"), key).where("not accepted or lang is null or lang <> language").select(key, "language", "accepted"))
+    named = docs.join(changed, key, "left").where("accepted is null or accepted")
     return named.withColumn("lang", F.coalesce("language", "lang")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest id."""
     small_batches(spark)
-    docs = docs.select(*COLUMNS)
-    gone = saved(simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return (kept.dropDuplicates(["doc_id"]) if twice.take(1) else kept).select(*COLUMNS)
+    docs, key = _keyed(docs.select(*COLUMNS))
+    gone = saved(simhash_components(docs, key).where(F.col(key) != F.col("component_id")).select(key))
+    return docs.join(gone, key, "left_anti").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages seen earlier are cut; a document of which nothing is left goes."""
     small_batches(spark)
-    docs = docs.select(*COLUMNS)
-    cut = saved(remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"]))
+    docs, key = _keyed(docs.select(*COLUMNS))
+    cut = saved(remove_repeats(docs, key).where("n_removed > 0").select(key, "kept_text"))
     text = F.coalesce("kept_text", "text")
-    return _measured(docs.join(cut, "doc_id", "left").where("kept_text is null or kept_text <> ''").withColumn("text", text))
+    return _measured(docs.join(cut, key, "left").where("kept_text is null or kept_text <> ''").withColumn("text", text))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
