@@ -7,8 +7,7 @@ is spread over time.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,29 +44,28 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
     return left.join(hit, id_col, "left_anti")
 
 
-def claim(results: DataFrame, events: DataFrame, keys: list[str], tolerance: int, chain: str = "_chain") -> DataFrame:
+def claim(results: DataFrame, events: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """Greedy one-to-one claim: results in order of ``seq`` each take the nearest event not yet taken,
-    the first on ties. Order matters only among rows that can compete, so rows are cut into chains at
-    gaps wider than the tolerance, and chains are claimed one by one, 500 to a task's call.
-    """
-    both = results.select(*keys, "seq", "ts", F.lit(0).alias("kind")).union(events.select(*keys, "seq", "ts", F.lit(1).alias("kind")))
-    both = both.withColumn("t", micros("ts")).drop("ts")
-    w = Window.partitionBy(*keys).orderBy("t", "kind", "seq")
-    cut = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("long"), F.lit(1))
-    both = both.withColumn("_cut", cut).withColumn(chain, F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    the first on ties.
 
-    def run(many: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in many.groupby(chain):
-            free = g[g.kind == 1].sort_values("seq")
-            left = dict(zip(free.seq, free.t))
-            for seq, t in g[g.kind == 0].sort_values("seq")[["seq", "t"]].itertuples(index=False):
-                near = min(((abs(at - t), e) for e, at in left.items()), default=None)
-                if near and near[0] <= tolerance:
-                    del left[near[1]]
-                else:
-                    near = (None, None)
-                out.append((seq, near[1], near[0]))
-        return pd.DataFrame(out, columns=["seq", "event_seq", "distance"]).astype({"event_seq": "Int64", "distance": "Int64"})
+    As every event goes to the smallest ``seq``, this is the one stable matching and is found by
+    rounds of proposals: each result proposes to its nearest candidate left, and an event drops all
+    candidates of a larger ``seq`` than its first proposer. It ends when no two results propose to
+    one event. Keys may be null and equal so. A round is two aggregations and a join.
+    """
+    from guardlake.llm.common import drop_saved, saved
 
-    return both.groupBy(*keys, F.floor(F.col(chain) / 500)).applyInPandas(run, "seq long, event_seq long, distance long")
+    side = lambda df: df.select(F.struct(*keys).alias("key"), "seq", "ts")
+    near = within(side(results), side(events), ["key"], max(tolerance, 1)).where(F.abs("dt") <= tolerance)
+    pairs = saved(near.select("seq", F.col("r_seq").alias("event_seq"), F.abs("dt").alias("distance")))
+    while True:
+        best = pairs.groupBy("seq").agg(F.min(F.struct("distance", "event_seq")).alias("m"))
+        best = saved(best.select("seq", "m.event_seq", "m.distance"))
+        held = saved(best.groupBy("event_seq").agg(F.min("seq").alias("holder"), F.count("*").alias("n")))
+        if not held.where("n > 1").take(1):
+            break
+        left = saved(pairs.join(held, "event_seq", "left").where("holder is null or seq <= holder").select("seq", "event_seq", "distance"))
+        for x in (pairs, best, held):
+            drop_saved(x)
+        pairs = left
+    return results.select("seq").join(best, "seq", "left")
