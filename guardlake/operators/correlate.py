@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.storage import drop_saved, saved
+
 
 def micros(c: Column | str) -> Column:
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
@@ -53,8 +55,6 @@ def claim(results: DataFrame, events: DataFrame, keys: list[str], tolerance: int
     candidates of a larger ``seq`` than its first proposer. It ends when no two results propose to
     one event. Keys may be null and equal so. A round is two aggregations and a join.
     """
-    from guardlake.llm.common import drop_saved, saved
-
     side = lambda df: df.select(F.struct(*keys).alias("key"), "seq", "ts")
     near = within(side(results), side(events), ["key"], max(tolerance, 1)).where(F.abs("dt") <= tolerance)
     pairs = saved(near.select("seq", F.col("r_seq").alias("event_seq"), F.abs("dt").alias("distance")))
@@ -65,7 +65,6 @@ def claim(results: DataFrame, events: DataFrame, keys: list[str], tolerance: int
         if not held.where("n > 1").take(1):
             break
         left = saved(pairs.join(held, "event_seq", "left").where("holder is null or seq <= holder").select("seq", "event_seq", "distance"))
-        for x in (pairs, best, held):
-            drop_saved(x)
+        drop_saved(pairs, best, held)
         pairs = left
     return results.select("seq").join(best, "seq", "left")
