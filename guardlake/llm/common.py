@@ -1,18 +1,14 @@
-"""Helpers shared by the training-data operators.
-
-Everything that cuts lineage goes to the folder named in ``spark.checkpoint.dir``;
-only where that is unset (tests, notebooks) is a temporary folder used.
-"""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardlake.storage import drop_saved, saved, shared_dir
+
+__all__ = ["connected_components", "drop_saved", "few_tasks", "saved", "shared_dir", "small_batches", "table"]
+
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of whole texts take 1000 rows unless the session says otherwise: two workers
@@ -27,48 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, a fresh sub-folder per call."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="guardlake-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/guardlake-{uuid.uuid4().hex}"
-
-
-def gathered(df: DataFrame, splits: int = 3) -> DataFrame:
-    """A result of a scan alone with ``splits`` input splits to a task, as long as there are two tasks
-    a core: fewer and larger files where each split leaves little. A plan with a shuffle stays as it is."""
-    run = df._jdf.queryExecution()
-    if "Exchange" in run.executedPlan().toString():
-        return df
-    n = run.toRdd().getNumPartitions()
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // splits)))
-
-
-def saved(df: DataFrame, release: bool = False) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
-
-    With ``release`` the JVM collects its garbage, upon which Spark deletes the shuffle
-    files of plans that nothing refers to any more.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    if release:
-        del df
-        gc.collect()
-        spark._jvm.System.gc()
-    return out
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete a table written by :func:`saved` once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def few_tasks(scan: DataFrame, splits: int = 3) -> int:
+    """How many tasks read a table's scan with ``splits`` input splits each, two tasks a core at least:
+    fewer and larger files where each split leaves little."""
+    return max(2 * scan.sparkSession.sparkContext.defaultParallelism, -(-scan.rdd.getNumPartitions() // splits))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
@@ -100,8 +58,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         )
         small = saved(small)
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for x in (e, low, large, low2):
-            drop_saved(x)
+        drop_saved(e, low, large, low2)
         e = small
         if now == seen:
             break

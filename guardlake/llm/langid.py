@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardlake.llm import words as W
-from guardlake.llm.common import gathered, saved, table
+from guardlake.llm.common import saved, table
 
 BITS = 14
 UNKNOWN = "und"
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         return rows.select(F.col("id").alias(id_col), F.col("said").alias("declared"), F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
     k = len(langs)
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("letters", T.LongType())])
-    scored = saved(gathered(rows.mapInArrow(_scores(spark.sparkContext.broadcast(logp), rows.columns.index("text"), temper), schema)))
+    scored = saved(rows.mapInArrow(_scores(spark.sparkContext.broadcast(logp), rows.columns.index("text"), temper), schema))
     seen = scored.where(F.col("letters") >= least_letters).withColumn("p", softmax("ll"))
     everywhere = _sums(seen, [], k).first()
     total = everywhere["t"] or 0.0

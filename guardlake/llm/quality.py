@@ -39,10 +39,9 @@ def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature hashes and rows, repeats included."""
     start, end, row = W.spans(data, offsets, ~ALNUM)
-    total = W.sums(FOLD[data].astype(np.uint64) + np.uint64(1), W.BASE)
-    word = W.ranges(total, start, end, W.BASE)
-    long = end - start >= 5
-    begin = W.mix(W.ranges(total, start[long], start[long] + 5, W.BASE) + np.uint64(5))
+    folded, long = FOLD[data], end - start >= 5
+    word = W.word_hashes(folded, start, end)
+    begin = W.word_hashes(folded, start[long], start[long] + 5, seed=1)
     n_words = np.bincount(row, minlength=len(offsets) - 1)
     same = np.bincount(row[1:][(word[1:] == word[:-1]) & (row[1:] == row[:-1])], minlength=len(offsets) - 1)
     size, letters = np.diff(offsets), _per_row(LETTER[data], offsets)

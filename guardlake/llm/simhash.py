@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.common import connected_components, gathered, saved, table
+from guardlake.llm.common import connected_components, few_tasks, saved, table
 from guardlake.llm.words import trim
 
 BITS = 64
@@ -205,14 +205,15 @@ def ball_edges(fps: DataFrame, radius: int = 2, step: int = 12, heavy: int = 1_0
     return reduce(DataFrame.union, found).distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 2) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 2, tasks: int | None = None) -> DataFrame:
     """``(id_col, fingerprint, component_id)``: documents linked at up to ``2*radius`` differing bits.
 
     Null and empty texts have fingerprint zero and link like any other; ids repeated in
     the input keep one row each; other columns are not looked at. An empty table gives
-    an empty result.
+    an empty result. ``tasks`` gathers what a scan leaves into so many tasks.
     """
-    fp = saved(gathered(with_fingerprint(docs, id_col, text_col, words)))
+    fp = with_fingerprint(docs, id_col, text_col, words)
+    fp = saved(fp.coalesce(tasks) if tasks else fp)
     classes = saved(fp.groupBy("fp").agg(F.min("id").alias("low")))
     comp = connected_components(ball_edges(classes.select("fp"), radius))
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -224,4 +225,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return simhash_components(docs, tasks=few_tasks(docs))

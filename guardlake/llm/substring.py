@@ -17,7 +17,8 @@ handed back to the scan as a bitmap of hashes of bounded size, whatever the corp
 false positive costs work and changes no result, as every step joins on the keys.
 Nothing groups a seed's occurrences in one task: counts and firsts are aggregated before
 the shuffle, the joins are plain equi-joins that adaptive execution splits. Windows are
-told apart by the seed and a second 64-bit hash.
+told apart by the seed and a hash of 64 bits from another family, over words that are
+themselves told apart by 64-bit hashes of their bytes under either seed.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardlake.llm import words as W
-from guardlake.llm.common import gathered, saved, table
+from guardlake.llm.common import drop_saved, few_tasks, saved, table
 
 LENGTH, GRAM = 20, 5
 
@@ -46,13 +47,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[
     n = len(start)
     if n < length:
         return None
-    total = W.sums(W.word_hashes(data, start, end), W.BASE2)
-    at = np.arange(n - gram + 1)
-    low = W.ranges(total, at, at + gram, W.BASE2)
+    low = W.windows(W.word_hashes(data, start, end), gram)
     grams, width, have = low, length - gram + 1, 1
     while have < width:
         by = min(have, width - have)
         low, have = np.minimum(low[:-by], low[by:]), have + by
+    hashes = W.windows(W.word_hashes(data, start, end, seed=1), length)
     windows = np.arange(n - length + 1)
     whole = row[windows] == row[windows + length - 1]
     new = np.ones(len(windows), bool)
@@ -62,14 +62,18 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[
         return None
     stop = np.append(np.flatnonzero(new | ~whole), len(windows))
     count = stop[np.searchsorted(stop, first, "right")] - first
+    # runs of more than ``length`` windows are cut, so that the first and last window cover a run
+    parts = -(-count // length)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first, count = np.repeat(first, parts) + nth * length, np.minimum(np.repeat(count, parts) - nth * length, length)
     seed, last = low[first], first + count - 1
     side = np.arange(width)
     left = first + (grams[first[:, None] + side] == seed[:, None]).argmax(1)
     right = last + width - 1 - (grams[last[:, None] + side[::-1]] == seed[:, None]).argmax(1)
     return {
         "row": row[first], "start": first - np.searchsorted(row, row[first]), "n": count, "seed": seed,
-        "hash": W.ranges(total, first, first + count + length - 1, W.BASE2), "twice": left != right, "first": first,
-        "windows": W.ranges(total, windows, windows + length, W.BASE2),
+        "hash": W.joined(W.joined(hashes[first], hashes[last]), count.astype(np.uint64)), "twice": left != right, "first": first,
+        "windows": hashes,
     }
 
 
@@ -87,13 +91,21 @@ def _identity(doc: pa.Array, extra: np.ndarray | int = 0) -> np.ndarray:
     return W.mix(W.mix(h) + np.asarray(extra).astype(np.uint64))
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The leading bits of the longs in column ``h`` as a set: 2**bits bits, 4 MB for 25."""
+def _bitmap(hashes: DataFrame, bits: int | None = None) -> np.ndarray:
+    """The leading bits of the longs in column ``h`` as a set of 2**bits bits.
+
+    By default eight to sixteen bits a row, 2 MB at least and 128 MB at most; a set fuller
+    than that lets more pass than it need, and changes no result.
+    """
+    hashes = saved(hashes)
+    if bits is None:
+        bits = min(max(hashes.count().bit_length() + 3, 24), 30)
     at = F.shiftrightunsigned("h", 64 - bits)
     bit = F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - bits}) & 63))")
     words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["at"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    drop_saved(hashes)
     return out
 
 
@@ -165,34 +177,42 @@ def _unfold(windows=None, all_columns: bool = True):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bits: int = 25) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bits: int | None = None, tasks: int | None = None
+) -> DataFrame:
     """``(id_col, start, end)``: word ranges, not merged, covered by windows that also start earlier.
 
     Earlier is a smaller id, or the same id and an earlier word. Rows with a null id
-    take no part; rows that repeat an id count as one document.
+    take no part; rows that repeat an id count as one document. ``bits`` sizes the bitmaps
+    (by default from what they hold), ``tasks`` gathers what a scan leaves into so many tasks.
     """
     send = docs.sparkSession.sparkContext.broadcast
     src = _texts(docs, id_col, text_col).where("doc is not null")
     long, integer = T.LongType(), T.IntegerType()
-    run = [src.schema["doc"], T.StructField("start", integer), T.StructField("n", integer), T.StructField("seed", long), T.StructField("hash", long), T.StructField("twice", T.BooleanType())]
     key = ["seed", "hash"]
-    common = src.mapInArrow(_seeds(length, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    run = [
+        src.schema["doc"], T.StructField("start", integer), T.StructField("n", integer),
+        *(T.StructField(c, long) for c in key), T.StructField("twice", T.BooleanType()),
+    ]
+    scanned = lambda step, fields: src.mapInArrow(step, T.StructType(fields)).coalesce(tasks) if tasks else src.mapInArrow(step, T.StructType(fields))
+    common = src.mapInArrow(_seeds(length, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     seeds = send(_bitmap(common, bits))
-    found = saved(gathered(src.mapInArrow(_runs(length, gram, seeds), T.StructType(run))), True)
+    found = saved(scanned(_runs(length, gram, seeds), run))
     first = found.groupBy(*key).agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("k"), F.max("twice").alias("twice"))
-    first = saved(first.select(*key, F.col("f.doc").alias("d0"), F.col("f.start").alias("s0"), "k", "twice"), True)
+    first = saved(first.select(*key, F.col("f.doc").alias("d0"), F.col("f.start").alias("s0"), "k", "twice"))
     again = found.select("doc", "start", "n", *key).join(first.where("k > 1").select(*key, "d0", "s0"), key).where("doc <> d0 or start <> s0")
-    copies = saved(again.select("doc", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end")), True)
+    copies = saved(again.select("doc", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end")))
     several = first.groupBy("seed").agg(F.count("*").alias("m"), F.max("twice").alias("t")).where("m > 1 or t").select("seed")
     several = saved(several)  # then the join below deals both sides out plainly, and a hot seed can be split
-    ends = saved(first.join(several, "seed").select(F.col("d0").alias("doc"), F.col("s0").alias("start"), "hash"), True)
+    ends = saved(first.join(several, "seed").select(F.col("d0").alias("doc"), F.col("s0").alias("start"), "hash"))
     instances = send(_bitmap(ends.mapInArrow(_instances, "h long"), bits))
-    ends = saved(gathered(src.mapInArrow(_runs(length, gram, seeds, instances), T.StructType([*run, T.StructField("windows", T.BinaryType())]))), True)
-    more = ends.mapInArrow(_unfold(all_columns=False), "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    drop_saved(found, first, several, ends)
+    ends = saved(scanned(_runs(length, gram, seeds, instances), [*run, T.StructField("windows", T.BinaryType())]))
+    more = ends.mapInArrow(_unfold(all_columns=False), "h long").groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     each = T.StructType([T.StructField("seed", long), T.StructField("w", long), run[0], run[1]])
     single = ends.mapInArrow(_unfold(send(_bitmap(more, bits))), each)
     least = single.groupBy("seed", "w").agg(F.min(F.struct("doc", "start")).alias("f"), F.count("*").alias("k")).where("k > 1")
-    least = saved(least.select("seed", "w", F.col("f.doc").alias("d0"), F.col("f.start").alias("s0")), True)
+    least = saved(least.select("seed", "w", F.col("f.doc").alias("d0"), F.col("f.start").alias("s0")))
     late = single.join(least, ["seed", "w"]).where("doc <> d0 or start <> s0").select("doc", "start", (F.col("start") + length).alias("end"))
     return copies.union(late).withColumnRenamed("doc", id_col)
 
@@ -241,18 +261,21 @@ def _doc_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(_identity(b.column(0)).view(np.int64))], names=["h"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False, bits: int = 25) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False, bits: int | None = None, tasks: int | None = None
+) -> DataFrame:
     """``(id_col, n_words, n_removed, kept_text)`` per row: the words outside repeated passages, joined by one space.
 
     With ``digest`` the last column is ``kept_sha256``. Null and empty texts have no words;
     texts shorter than ``length`` words keep all; an empty table gives an empty result.
     Only documents with repeats are shuffled with their text.
     """
-    found = repeated_spans(docs, id_col, text_col, length, bits=bits).groupBy(F.col(id_col).alias("doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    found = saved(found, True)
+    spans = repeated_spans(docs, id_col, text_col, length, bits=bits, tasks=tasks)
+    found = saved(spans.groupBy(F.col(id_col).alias("doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     with_spans = docs.sparkSession.sparkContext.broadcast(_bitmap(found.select("doc").mapInArrow(_doc_hashes, "h long"), bits))
     src = _texts(docs, id_col, text_col)
-    out = T.StructType([src.schema["doc"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType() if digest else T.BinaryType())])
+    kept_type = T.StringType() if digest else T.BinaryType()
+    out = T.StructType([src.schema["doc"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", kept_type)])
     untouched, kept_words = _only(with_spans, False), _kept(digest)
     whole = src.mapInArrow(lambda batches: kept_words(untouched(batches)), out)
     cut = src.mapInArrow(_only(with_spans, True), src.schema).join(found, "doc", "left").select("doc", "t", "spans").mapInArrow(_kept(digest), out)
@@ -261,4 +284,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    docs = table(spark, sf_dir, "documents")
+    return remove_repeats(docs, digest=True, tasks=few_tasks(docs))

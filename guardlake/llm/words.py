@@ -1,7 +1,8 @@
-"""Words of whole Arrow batches as numpy arrays: positions, hashes, rolling hashes.
+"""Words of whole Arrow batches as numpy arrays: positions, hashes, hashes of windows.
 
 A batch of texts is one byte array with offsets; nothing loops over words in Python.
-Hashes are polynomial, modulo 2**64, in a fixed odd base, and finally mixed.
+Hashes mix bits at every step and are nowhere linear in the words, so structured texts
+(such as Thue-Morse sequences, on which all polynomials modulo 2**64 agree) do not collide.
 """
 
 from __future__ import annotations
@@ -13,40 +14,53 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BASE, BASE2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Fixed odd numbers, and the mask that keeps the first bytes of eight.
+ODD, STEP = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Bytes that separate words: space and 09 to 0D.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        both = [np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64))) for b in (base, pow(base, -1, 2**64))]
-        _powers[base] = (both[0], both[1])
-    return _powers[base]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def sums(values: np.ndarray, base: int) -> np.ndarray:
-    """Running sums of values[i] * base**i, from 0."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values) + 1)[0][: len(values)], out=out[1:])
-    return out
-
-
-def ranges(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] from the running sums; the lengths count too."""
-    inv = powers(base, len(total))[1]
-    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of each pair of hashes; the order counts."""
+    return mix(a * ODD + mix(b + STEP))
+
+
+def windows(h: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every ``length`` consecutive hashes, by doubling. Halves are mixed, never summed,
+    so no arrangement of the same values cancels out."""
+    have = 1
+    while have < length:
+        by = min(have, length - have)
+        h, have = joined(h[:-by], h[by:]), have + by
+    return h
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: every eight bytes are mixed with their place and the
+    seed; the results are summed and mixed with the length."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size, key = end - start, np.uint64((0x5851F42D4C957F2D + (2 * seed + 1) * int(ODD)) % 2**64)
+    out = mix((eight[start] & MASKS[np.minimum(size, 8)]) ^ key)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        word = np.repeat(long, more)
+        place = np.arange(len(word)) - np.repeat(first, more) + 1
+        at = start[word] + 8 * place
+        rest = mix((eight[at] & MASKS[np.minimum(end[word] - at, 8)]) ^ (key + place.astype(np.uint64) * STEP))
+        out[long] += np.add.reduceat(rest, first)
+    return mix(out + size.astype(np.uint64) * STEP)
 
 
 def trim() -> None:
@@ -84,6 +98,3 @@ def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE)
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
-
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return ranges(sums(data.astype(np.uint64) + np.uint64(1), BASE), start, end, BASE)
