@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guardlake.llm import bpe
-from guardlake.llm.common import gathered, saved, small_batches, table
+from guardlake.llm.common import few_tasks, saved, small_batches, table
 from guardlake.llm.decontaminate import remove_contamination
 from guardlake.llm.langid import identify
 from guardlake.llm.simhash import simhash_components
@@ -32,7 +32,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").take(1):
         return docs, "doc_id"
     order = [F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.xxhash64("lang", "source")]  # many null ids lie in several ranges
-    return saved(docs.orderBy(*order).withColumn("row", F.monotonically_increasing_id()), True), "row"
+    return saved(docs.orderBy(*order).withColumn("row", F.monotonically_increasing_id())), "row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each SimHash group stays: the one with the smallest id."""
     small_batches(spark)
     docs, key = _keyed(docs.select(*COLUMNS))
-    gone = saved(simhash_components(docs, key).where(F.col(key) != F.col("component_id")).select(key))
+    gone = saved(simhash_components(docs, key, tasks=few_tasks(docs)).where(F.col(key) != F.col("component_id")).select(key))
     return docs.join(gone, key, "left_anti").select(*COLUMNS)
 
 
@@ -57,7 +57,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages seen earlier are cut; a document of which nothing is left goes."""
     small_batches(spark)
     docs, key = _keyed(docs.select(*COLUMNS))
-    cut = saved(remove_repeats(docs, key).where("n_removed > 0").select(key, "kept_text"))
+    cut = saved(remove_repeats(docs, key, tasks=few_tasks(docs)).where("n_removed > 0").select(key, "kept_text"))
     text = F.coalesce("kept_text", "text")
     return _measured(docs.join(cut, key, "left").where("kept_text is null or kept_text <> ''").withColumn("text", text))
 
@@ -66,7 +66,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Benchmark passages are cut; a document that is mostly such passages goes."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)
-    return gathered(_measured(remove_contamination(docs, table(spark, sf_dir, "benchmark"))))
+    return _measured(remove_contamination(docs, table(spark, sf_dir, "benchmark"))).coalesce(few_tasks(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return len(ids) // 4, ids, hashlib.sha256(tok.decode(ids).encode()).hexdigest()
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField("decoded_sha256", T.StringType())]
-    return gathered(bpe.mapped(docs.select("doc_id", "lang", "source", "text"), bpe.default_path(), row, fields, "text", ("text",)))
+    return bpe.mapped(docs.select("doc_id", "lang", "source", "text"), bpe.default_path(), row, fields, "text", ("text",)).coalesce(few_tasks(docs))
 
 
 STAGES = [
