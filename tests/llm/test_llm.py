@@ -229,10 +229,10 @@ def test_bpe_equals_library(texts):
     theirs, ours = Tokenizer.from_file(bpe.default_path()), bpe.Tokenizer(bpe.read_model(bpe.default_path()))
     rng = random.Random(3)
     letters = "aaabcdeehhinorsttt''.,! 0123\t\n  éßΣσςİıＡḰ̈ñ日本語한글\x1c\x85\xa0​　😀ﬁ½Ⅷ٣"
-    cases = [*list(texts.values())[:60], *("".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(3000)), "a<|endoftext|>b <|startoftext|>", "<|end", "", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 9]
-    for t in cases:
+    cases = [t or "" for t in texts.values()] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    cases += ["a<|endoftext|>b <|startoftext|>", "<|end", "", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 9, "".join(rng.choice("aehinorst") for _ in range(5000)), "the" * 200 + " of"]
+    for t, ids in zip(cases, ours.encode(cases)):
         want = theirs.encode(t, add_special_tokens=False).ids
-        ids = ours.encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == want, t
         assert ours.decode(ids) == theirs.decode(want, skip_special_tokens=False)
 
@@ -241,8 +241,10 @@ def test_bpe_query(spark, sf, texts):
     from tokenizers import Tokenizer
 
     theirs = Tokenizer.from_file(bpe.default_path())
-    for r in bpe.op8_bpe(spark, sf).collect()[:40]:
-        ids = theirs.encode(texts[r.doc_id], add_special_tokens=False).ids
+    got = bpe.op8_bpe(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = theirs.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest())
 
 
