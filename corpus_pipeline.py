@@ -74,8 +74,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = docs.select(*COLUMNS)
 
-    def row(tok: bpe.Tokenizer, text: str) -> tuple:
-        ids = tok.encode(text)
+    def row(tok: bpe.Tokenizer, ids: bytes) -> tuple:
         return len(ids) // 4, ids, hashlib.sha256(tok.decode(ids).encode()).hexdigest()
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField("decoded_sha256", T.StringType())]
