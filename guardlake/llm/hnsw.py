@@ -3,15 +3,19 @@
 Equal vectors collapse to one class. Classes are dealt to shards by hash; each shard builds
 hierarchical navigable small-world layers (Malkov and Yashunin, 2018), whole batches of
 vectors at a time. Every block of queries is searched in every shard. A beam is widened for
-queries whose beam ends inside the links, and for all while an audit, a sample of the
-block's queries held against the whole shard, finds too few of the true links. Cosines are
-verified in double precision; links are counted by multiplicity, and only a spanning forest
-of them leaves a task, from which components are united.
+queries whose beam ends inside the links, and for the whole block while an audit, a sample of
+its queries held against the whole shard, misses a link; beyond a quarter of the shard the
+exact search takes over. Cosines are verified in double precision.
+
+Links found from either side count for both, so a pair that one search misses is not lost.
+Queries with many links in a shard are counted there instead of listing their pairs, and only
+a spanning forest of the links leaves a task, from which components are united.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake.llm import words as W
-from guardlake.llm.common import connected_components, saved, table
+from guardlake.llm.common import connected_components, drop_saved, saved, table
 
 COSINE = 0.95
+#: Links of a query in a shard up to which they are listed as pairs.
+LISTED = 64
 
 
 def select(sims: np.ndarray, ids: np.ndarray, vectors: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +137,15 @@ class Graph:
         return at
 
     def _search(self, links: np.ndarray, v: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Beam search from one entry per query: ids and cosines, nearest first."""
+        """Beam search from one entry per query: ids and cosines, nearest first. Some queries at a time,
+        as each holds a flag for every node."""
+        step = max(16, min(1024, (32 << 20) // max(len(self.vectors), beam * 16)))
+        if len(v) <= step:
+            return self._walked(links, v, entry, beam)
+        parts = [self._walked(links, v[at : at + step], entry[at : at + step], beam) for at in range(0, len(v), step)]
+        return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+
+    def _walked(self, links: np.ndarray, v: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         q, m = len(v), links.shape[1]
         ids = np.full((q, beam), -1, np.int64)
         sims = np.full((q, beam), -2, np.float32)
@@ -164,47 +178,54 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def search(self, v: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        beam = min(beam, len(self.vectors))
-        out = []
-        step = max(16, min(1024, (32 << 20) // max(len(self.vectors), beam * 16)))
-        for at in range(0, len(v), step):
-            part = v[at : at + step].astype(np.float32)
-            upper = self.layers
-            self.layers = upper[:-1]
-            entry = self._entries(part)
-            self.layers = upper
-            out.append(self._search(upper[-1], part, entry, beam))
-        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+        v, layers = v.astype(np.float32), self.layers
+        self.layers = layers[:-1]
+        entry = self._entries(v)
+        self.layers = layers
+        return self._search(layers[-1], v, entry, min(beam, len(self.vectors)))
 
 
-def links_in(graph: Graph, vectors: np.ndarray, queries: np.ndarray, cosine: float, audit: np.ndarray, recall: float = 0.99, beam: int = 96) -> tuple[np.ndarray, np.ndarray, float]:
-    """Pairs (query, node) with a cosine of ``cosine`` or more, and the recall that the audit found.
+def exact(vectors: np.ndarray, queries: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of all pairs (query, node) with the cosine: some queries at a time against every node."""
+    step = max(1, (4 << 20) // max(len(vectors), 1))
+    for at in range(0, len(queries), step):
+        q, x = np.nonzero(queries[at : at + step] @ vectors.T >= cosine)
+        yield q + at, x
 
-    ``vectors`` and ``queries`` are unit vectors in double precision; ``audit`` are the
-    positions of the queries held against the whole shard.
-    """
+
+def searched(graph: Graph, vectors: np.ndarray, queries: np.ndarray, cosine: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of pairs (query, node) with the cosine that a beam finds, widened fourfold for queries
+    whose beam ends inside their links. Beams of over a quarter of the nodes give way to the exact search."""
     margin, n = 1e-4, len(vectors)
-    truth = [np.flatnonzero(vectors @ queries[i] >= cosine) for i in audit]
-    while True:
-        q_out, n_out = [], []
-        todo, width = np.arange(len(queries)), min(beam, n)
-        while len(todo):
+    most = max(n // 4, 64)
+    for at in range(0, len(queries), 2048):
+        todo, width = np.arange(at, min(at + 2048, len(queries))), beam
+        while len(todo) and width <= most:
             ids, sims = graph.search(queries[todo], width)
             whole = (sims[:, -1] < cosine - margin) | (width >= n)  # the beam reaches beyond the links
             r, c = np.nonzero((sims >= cosine - margin) & (ids >= 0) & whole[:, None])
             q, x = todo[r], ids[r, c]
             ok = np.einsum("rd,rd->r", queries[q], vectors[x]) >= cosine
-            q_out.append(q[ok])
-            n_out.append(x[ok])
-            todo, width = todo[~whole], min(4 * width, n)
-        q, x = np.concatenate(q_out or [np.zeros(0, np.int64)]), np.concatenate(n_out or [np.zeros(0, np.int64)])
-        pairs = np.unique(q * n + x)
-        q, x = pairs // n, pairs % n
-        true = np.concatenate([i * n + t for i, t in zip(audit, truth)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        share = float(np.isin(true, pairs).mean()) if len(true) else 1.0
-        if share >= recall or beam >= n:
-            return q, x, share
-        beam = min(2 * beam, n)
+            yield q[ok], x[ok]
+            todo, width = todo[~whole], 4 * width
+        for q, x in exact(vectors, queries[todo], cosine):
+            yield todo[q], x
+
+
+def audited(graph: Graph, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float, beam: int = 96) -> tuple[int, int, int]:
+    """The beam that finds every link of half of the audited queries, and how many links of the
+    other half there are, and are found with it; if one of those is missed, the beam is doubled.
+
+    ``own`` is each query's node in the shard, or -1: a query's link to itself is no link.
+    """
+    pairs = lambda found, own: {(q, x) for qs, xs in found for q, x in zip(qs.tolist(), xs.tolist()) if own[q] != x}
+    first, second = (slice(0, None, 2), slice(1, None, 2))
+    want = pairs(exact(vectors, queries[first], cosine), own[first])
+    while beam <= len(vectors) // 4 and not want <= pairs(searched(graph, vectors, queries[first], cosine, beam), own[first]):
+        beam *= 2
+    want = pairs(exact(vectors, queries[second], cosine), own[second])
+    found = want & pairs(searched(graph, vectors, queries[second], cosine, beam), own[second])
+    return (beam if found == want else 2 * beam), len(want), len(found)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,46 +249,76 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _build(t: pa.Table) -> pa.Table:
-    ids = t["rep"].combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
     vectors = np.concatenate([_matrix(c) for c in t["u"].chunks])
     graph = Graph(vectors)
-    blob = pickle.dumps((np.asarray(ids), np.asarray(t["mult"]), vectors, graph.layers, graph.start), protocol=5)
-    step = 16 << 20
-    parts = [blob[i : i + step] for i in range(0, len(blob), step)]
-    return pa.table({"dim": pa.array([t["dim"][0].as_py()] * len(parts), pa.int32()), "shard": pa.array([t["shard"][0].as_py()] * len(parts), pa.int32()), "part": pa.array(range(len(parts)), pa.int32()), "data": pa.array(parts, pa.binary())})
+    blob = pickle.dumps((t["key"].to_numpy(), t["mult"].to_numpy(), vectors, graph.layers, graph.start), protocol=5)
+    parts = [blob[i : i + (16 << 20)] for i in range(0, len(blob), 16 << 20)]
+    same = lambda name: pa.array([t[name][0].as_py()] * len(parts), pa.int32())
+    return pa.table({"dim": same("dim"), "shard": same("shard"), "part": pa.array(range(len(parts)), pa.int32()), "data": pa.array(parts, pa.binary())})
+
+
+#: What a search returns. pair: query, its shard, node, multiplicities of both; count: query, shard and number of
+#: its links there; edge: of the forest; audit: links there are (a) and links found (b) of the audited queries.
+FOUND = "kind string, a long, b long, a_shard int, b_shard int, a_mult long, b_mult long"
 
 
 def _query(cosine: float, audits: int):
+    def rows(kind: str, a, b=None, a_shard=None, b_shard=None, a_mult=None, b_mult=None) -> pa.Table:
+        n = len(a)
+        column = lambda x, t: pa.nulls(n, t) if x is None else pa.array(np.broadcast_to(x, n), t)
+        return pa.table({
+            "kind": pa.array([kind] * n, pa.string()), "a": column(a, pa.int64()), "b": column(b, pa.int64()), "a_shard": column(a_shard, pa.int32()),
+            "b_shard": column(b_shard, pa.int32()), "a_mult": column(a_mult, pa.int64()), "b_mult": column(b_mult, pa.int64()),
+        })
+
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        out = [rows("edge", np.zeros(0, np.int64))]
         if not queries.num_rows or not index.num_rows:
-            return empty
+            return out[0]
+        shard = index["shard"][0].as_py()
         parts = sorted(zip(index["part"].to_pylist(), index["data"].to_pylist()))
-        ids, mult, vectors, layers, start = pickle.loads(b"".join(p for _, p in parts))
+        keys, mult, vectors, layers, start = pickle.loads(b"".join(p for _, p in parts))
+        del parts
         graph = Graph.__new__(Graph)
         graph.vectors, graph.layers, graph.start = vectors.astype(np.float32), layers, start
-        own = np.concatenate([np.asarray(c) for c in queries["rep"].chunks])
+        own, own_shard, own_mult = (queries[c].to_numpy() for c in ("key", "home", "mult"))
         q_vectors = np.concatenate([_matrix(c) for c in queries["u"].chunks])
-        audit = np.argsort(W.mix(own.astype(np.int64).view(np.uint64)))[:audits]
-        q, x, _ = links_in(graph, vectors, q_vectors, cosine, audit)
-        other = own[q] != ids[x]
-        q, x = q[other], x[other]
-        n = np.bincount(q, weights=mult[x], minlength=len(own)).astype(np.int64)
-        some = np.flatnonzero(n)
-        a, b = _forest(own[q], ids[x])
-        return pa.table({"a": pa.array(np.concatenate([own[some], a])), "b": pa.array(np.concatenate([np.zeros(len(some), np.int64), b]), mask=np.arange(len(some) + len(a)) < len(some)), "n": pa.array(np.concatenate([n[some], np.zeros(len(a), np.int64)]), mask=np.arange(len(some) + len(a)) >= len(some))})
+        node = {int(k): i for i, k in enumerate(keys)}
+        some = np.argsort(W.mix(own.view(np.uint64)))[:audits]
+        beam, true, got = audited(graph, vectors, q_vectors[some], np.array([node.get(int(k), -1) for k in own[some]]), cosine)
+        out.append(rows("audit", [true], [got]))
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for q, x in searched(graph, vectors, q_vectors, cosine, beam):
+            other = own[q] != keys[x]
+            q, x = q[other], x[other]
+            if not len(q):
+                continue
+            n = np.bincount(q, minlength=len(own))
+            many = np.flatnonzero(n > LISTED)
+            if len(many):
+                links = np.bincount(q, weights=mult[x], minlength=len(own)).astype(np.int64)
+                out.append(rows("count", own[many], b_shard=shard, b_mult=links[many]))
+            few = n[q] <= LISTED
+            out.append(rows("pair", own[q[few]], keys[x[few]], own_shard[q[few]], shard, own_mult[q[few]], mult[x[few]]))
+            a, b = _forest(np.concatenate([a, own[q]]), np.concatenate([b, keys[x]]))
+        out.append(rows("edge", a, b))
+        return pa.concat_tables(out)
 
     return run
 
 
-def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shards: int = 8, shard_rows: int = 500_000, block_rows: int = 16_384, audits: int = 256) -> DataFrame:
-    """``(id_col, n_links, component_id, kept)``: vectors linked at a cosine of ``cosine`` or more.
+def embedding_components(
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
+    shards: int = 8, shard_rows: int = 200_000, block_rows: int = 65_536, blocks: int = 2, audits: int = 256,
+) -> DataFrame:
+    """``(id_col, n_links, component_id, kept, audit_recall)``: vectors linked at a cosine of ``cosine`` or more.
 
     A vector that is null, empty or zero, or holds a null or non-finite component, links
     with nothing; vectors of different lengths do not link. Rows that repeat id and vector
-    are one vector. ``shard_rows`` bounds a shard; there are ``shards`` at least.
-    ``audits`` queries of each block and shard are held against the whole shard.
+    are one vector; an id with several vectors has a row for each. ``shard_rows`` bounds a
+    shard and ``block_rows`` a block of queries; there are ``shards`` and ``blocks`` at least.
+    ``audits`` queries of each block and shard are held against the whole shard;
+    ``audit_recall`` is the share of links found of those that did not choose the beam (null if they have none).
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).distinct()
     good = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -276,24 +327,36 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = saved(rows.withColumn("top", F.when(good, top)).withColumn("ok", F.coalesce(F.col("top") > 0, F.lit(False))))
     valid = rows.where("ok").select("id", F.transform("v", lambda x: x + 0.0).alias("v"), "top")
     classes = valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("top").alias("top"))
-    scaled = F.transform("v", lambda x: x / F.col("top"))
-    classes = saved(classes.withColumn("s", scaled).withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))).select("rep", "mult", "v", F.transform("s", lambda x: x / F.col("norm")).alias("u")))
+    classes = classes.withColumn("s", F.transform("v", lambda x: x / F.col("top"))).withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)))
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("key"), "rep", "mult", "v", F.transform("s", lambda x: x / F.col("norm")).alias("u")))
     n = classes.count()
-    shards, blocks = max(shards, -(-n // shard_rows)), max(1, -(-n // block_rows))
-    dealt = classes.select(F.col("rep").cast("long").alias("rep"), "mult", "u", F.size("u").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    index = saved(dealt.select("dim", "shard", "rep", "mult", "u").groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, part int, data binary"))
-    every = lambda k: F.explode(F.array(*[F.lit(i) for i in range(k)])) if k <= 64 else F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    asked = dealt.drop("shard", "mult").withColumn("shard", every(shards))
+    shards, blocks = max(shards, -(-n // shard_rows)), max(blocks, -(-n // block_rows))
+    dealt = classes.select("key", "mult", "u", F.size("u").alias("dim"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    index = saved(dealt.select("dim", "shard", "key", "mult", "u").groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, part int, data binary"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = dealt.withColumnRenamed("shard", "home").withColumn("shard", every(shards))
     known = index.withColumn("block", every(blocks))
     keys = ("dim", "shard", "block")
-    found = saved(known.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_query(cosine, audits), "a long, b long, n long"))
-    linked = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("b is not null").select("a", "b").distinct())
-    classes = classes.select("rep", "v", "mult").join(linked, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    classes = saved(classes.select("v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    joined = rows.where("ok").select("id", F.transform("v", lambda x: x + 0.0).alias("v")).join(classes, "v").select("id", "n_links", "component_id")
+    found = saved(known.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_query(cosine, audits), FOUND))
+    audit = found.where("kind = 'audit'").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    pairs = found.where("kind = 'pair'")
+    both = pairs.select(F.col("a").alias("key"), "b_shard", F.col("b").alias("other"), "b_mult")
+    both = both.union(pairs.select("b", "a_shard", "a", "a_mult")).distinct()
+    listed = both.groupBy("key", "b_shard").agg(F.sum("b_mult").alias("listed"), F.lit(None).cast("long").alias("counted"))
+    counted = found.where("kind = 'count'").select(F.col("a").alias("key"), "b_shard", F.lit(None).cast("long").alias("listed"), F.col("b_mult").alias("counted"))
+    in_shard = listed.union(counted).groupBy("key", "b_shard").agg(F.coalesce(F.max("counted"), F.max("listed")).alias("n"))
+    linked = in_shard.groupBy("key").agg(F.sum("n").alias("n"))
+    parts = connected_components(found.where("kind = 'edge'").select("a", "b").distinct()).withColumnRenamed("node", "key")
+    named = classes.select("key", "rep", "v", "mult").join(linked, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = saved(named.select("v", "rep", "component", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links")))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    done = saved(named.join(least, "component").select("v", "n_links", "component_id"))
+    drop_saved(index, found, classes, named)
+    joined = rows.where("ok").select("id", F.transform("v", lambda x: x + 0.0).alias("v")).join(done, "v").select("id", "n_links", "component_id")
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return joined.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    recall = F.lit(audit["b"] / audit["a"] if audit["a"] else None).cast("double")
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return joined.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept"), recall.alias("audit_recall"))
 
 
 def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,31 @@ def test_embeddings_equal_brute_force(spark):
     rows = [(i, rng.normal(size=4).tolist()) for i in range(300)] + [(300 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(20)] + [(400 + i, [1.0, 2.0, 3.0, 4.0 + 0.01 * i]) for i in range(30)]
     rows += [(500, None), (501, [0.0] * 4), (502, [1.0, None, 2.0, 3.0]), (503, [float("nan")] * 4), (504, []), (505, [1.0, 2.0]), (506, [2.0, 4.0]), (507, [1e-30, 2e-30, 3e-30, 4e-30]), (508, [float("inf"), 1.0, 1.0, 1.0]), (509, [-0.0, 1.0, 0.0, 0.0]), (510, [0.0, 1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<double>")
-    assert {r[0]: tuple(r)[1:] for r in hnsw.embedding_components(df).collect()} == linked(rows)
+    assert {r[0]: tuple(r)[1:4] for r in hnsw.embedding_components(df).collect()} == linked(rows)
+    assert hnsw.embedding_components(df).first().audit_recall == 1.0
+
+
+def test_planted_links_and_a_dense_cluster(spark):
+    """Pairs planted on both sides of the cosine at 64 dimensions, a cluster of which each links with all, one id with two vectors."""
+    rng = np.random.default_rng(7)
+    plain = rng.normal(size=(1500, 64))
+    near = plain[:300] / np.linalg.norm(plain[:300], axis=1, keepdims=True)
+    side = rng.normal(size=near.shape)
+    side -= (side * near).sum(axis=1, keepdims=True) * near
+    cosines = rng.uniform(0.93, 0.97, (300, 1))
+    near = cosines * near + np.sqrt(1 - cosines**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    dense = rng.normal(size=64) + 0.02 * rng.normal(size=(1200, 64))
+    x = np.concatenate([plain, near, dense])
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    twice = [(7, (-x[7]).tolist()), (5000, (-1.001 * x[7]).tolist())]
+    got = hnsw.embedding_components(spark.createDataFrame(rows + twice, "vec_id long, embedding array<double>")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = u @ u.T >= 0.95
+    want = groups(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(true)) if a < b])
+    plain_rows = [r for r in got if r.vec_id not in (7, 5000)]
+    assert {r.vec_id: (r.n_links, r.component_id) for r in plain_rows} == {i: (int(true[i].sum()) - 1, want[i]) for i in range(len(x)) if i != 7}
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id in (7, 5000)) == sorted([(7, int(true[7].sum()) - 1, want[7]), (7, 1, 7), (5000, 1, 7)])
+    assert got[0].audit_recall > 0.99
 
 
 def test_graph_recall():
@@ -70,9 +94,12 @@ def test_graph_recall():
     centres = rng.normal(size=(60, 32))
     x = np.concatenate([centres[rng.integers(60, size=2500)] + 0.15 * rng.normal(size=(2500, 32)), np.repeat(centres[:1], 300, 0) + 0.01 * rng.normal(size=(300, 32))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q, n, audit = hnsw.links_in(hnsw.Graph(x), x, x, 0.95, np.arange(64))
-    true = x @ x.T >= 0.95
-    assert true[q, n].all() and len(set(zip(q, n))) == len(q) and len(q) >= 0.99 * true.sum() and audit >= 0.99
+    graph, true = hnsw.Graph(x), x @ x.T >= 0.95
+    beam, links, seen = hnsw.audited(graph, x, x[:128], np.arange(128), 0.95)
+    q, n = map(np.concatenate, zip(*hnsw.searched(graph, x, x, 0.95, beam)))
+    assert true[q, n].all() and len(set(zip(q, n))) == len(q) and len(q) >= 0.99 * true.sum() and seen >= 0.99 * links
+    q, n = map(np.concatenate, zip(*hnsw.exact(x, x, 0.95)))
+    assert len(q) == true.sum()
 
 
 # 2 ------------------------------------------------------------------------------------
