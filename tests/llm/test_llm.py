@@ -159,14 +159,56 @@ def test_scores(spark, docs, texts, head, monkeypatch):
         assert r.score < 0 and 0 < r.bits_per_byte < 12
 
 
-def test_score_is_a_distribution():
-    """Over all next bytes the bits' probabilities add up to one, as each bit's do."""
-    words = [b"ab", b"abc", mixing.LINE]
-    bit, word, place, context, node = mixing.bits(words)
-    assert bit.shape == (3 + 4 + 1, 8) and (np.packbits(bit, axis=1).ravel() == np.frombuffer(b"ab abc \n", np.uint8)).all()
-    a, b = (mixing.slots(context, node, g) for g in (0, 1))
-    assert all((x[:3, :] != y[:3, :]).any() for x, y in zip(a, b)) and all((x >= mixing.BASES[j]).all() and (x < mixing.BASES[j + 1]).all() for j, x in enumerate(a))
-    assert all((x[0] == x[3]).all() for x in a)  # the same beginning is the same context
+def pieces_of(text):
+    """The symbols of a text, one by one: heads with what precedes them, and words."""
+    out, before = [], b""
+    for w in text.encode().lower().split():
+        out += [(b" " + before)[-3:] + b"\t" + (w + b" ")[:3], w]
+        before = w
+    return [*out, (b" " + before)[-3:] + b"\t\n"]
+
+
+@pytest.fixture(scope="module")
+def mixed(docs, texts):
+    held = mixing._held("doc_id", 10)
+    shares, gate = mixing._gates(docs, held, "lang", 8)
+    k = len(shares)
+    return k, shares, mixing.symbols_of(docs, "text", F.when(held, -1).otherwise(gate), k).cache()
+
+
+def test_symbols_equal_brute_force(docs, texts, mixed):
+    k, shares, vocabulary = mixed
+    want = Counter(p for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for p in pieces_of(t))
+    got = {bytes(r["w"]): sum(r[f"n{g}"] for g in range(k)) for r in vocabulary.collect()}
+    assert {w: n for w, n in got.items() if n} == want and set(got) == {p for t in texts.values() for p in pieces_of(t)}
+
+
+def test_scores_equal_brute_force(docs, texts, mixed):
+    """The model walks each text byte by byte and gate by gate; and the next bytes' probabilities add up to one."""
+    k, shares, vocabulary = mixed
+    model = mixing.Model(mixing.train(vocabulary, k))
+    got = {r.doc_id: r.score for r in mixing.score(docs).collect()}
+    for i, t in list(texts.items())[:25]:
+        whole = []
+        for g in range(k):
+            logs, _ = model.byte_logs(pieces_of(t), g)
+            assert len(logs) == sum(len(w) + 1 for w in t.encode().split()) + 1
+            whole.append(sum(logs.tolist()) + np.log((shares[g] + 0.5) / (sum(shares) + 0.5 * k)))
+        want = (max(whole) + np.log(sum(np.exp(x - max(whole)) for x in whole))) / np.log(10)
+        assert abs(got[i] - want) < 1e-6 * abs(want)
+    for known in (b"the\t", b" of\tt", b" \t", b"ing\tab"):
+        logs, symbol = model.byte_logs([known + bytes([b]) for b in range(256) if b != 9], 0)
+        last = np.append(symbol[1:] != symbol[:-1], True)
+        assert abs(np.exp(logs[last]).sum() - 1) < 0.01  # but for the tab, which no text has there
+
+
+def test_score_depends_on_the_order_of_words_and_not_on_cores(spark, docs):
+    base = {r.doc_id: r.score for r in mixing.score(docs.repartition(3)).collect()}
+    again = {r.doc_id: r.score for r in mixing.score(docs.repartition(11, "text")).collect()}
+    assert all(abs(base[i] - again[i]) < 1e-9 * abs(base[i]) for i in base)
+    two = spark.createDataFrame([(1, "of the house and the garden " * 30, "en"), (2, "of the house", "en"), (3, "the of house", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in mixing.score(two).collect()}
+    assert got[2].base_score == pytest.approx(got[3].base_score) and got[2].score > got[3].score
 
 
 # 6 ------------------------------------------------------------------------------------
