@@ -10,13 +10,18 @@ NATIVE_EVENTS = {
     "cursor": {
         "beforeShellExecution": "PreToolUse", "afterShellExecution": "PostToolUse", "beforeMCPExecution": "PreToolUse", "afterMCPExecution": "PostToolUse", "beforeReadFile": "PreToolUse", "beforeTabFileRead": "PreToolUse",
         "afterFileEdit": "PostToolUse", "afterTabFileEdit": "PostToolUse", "beforeSubmitPrompt": "UserPromptSubmit",
+        "afterAgentResponse": "AfterAgentResponse", "afterAgentThought": "AfterAgentThought", "workspaceOpen": "WorkspaceOpen",
+    },
+    "opencode": {
+        "tool.execute.before": "PreToolUse", "tool.execute.after": "PostToolUse", "permission.asked": "PermissionRequest", "permission.replied": "PermissionReplied",
+        "command.executed": "CommandExecuted", "file.edited": "PostToolUse", "shell.env": "ShellEnv", "session.created": "SessionStart",
+        "session.compacted": "PostCompact", "session.idle": "Stop", "session.error": "SessionError", "session.status": "SessionStatus",
     },
-    "opencode": {"tool.execute.before": "PreToolUse", "tool.execute.after": "PostToolUse", "permission.asked": "PermissionRequest"},
     "pi": {"tool_call": "PreToolUse", "user_bash": "PreToolUse", "tool_result": "PostToolUse", "tool_execution_end": "PostToolUse", "input": "UserPromptSubmit", "before_agent_start": "SessionStart", "turn_end": "TurnEnd", "agent_end": "Stop"},
 }
 #: Events known by the same name, and tools by other names.
 EVENTS = ("PreToolUse", "PostToolUse", "PostToolUseFailure", "PermissionRequest", "UserPromptSubmit", "SessionStart", "SessionEnd", "Stop", "SubagentStart", "SubagentStop", "PreCompact", "ConfigChange")
-TOOLS = {"bash": "Bash", "shell": "Bash", "terminal": "Bash", "read": "Read", "read_file": "Read", "edit": "Edit", "write": "Write", "file_edit": "Write", "grep": "Grep", "glob": "Glob", "webfetch": "WebFetch", "websearch": "WebSearch"}
+TOOLS = {"bash": "Bash", "shell": "Bash", "terminal": "Bash", "read": "Read", "read_file": "Read", "edit": "Edit", "write": "Write", "file_edit": "Write", "after_file_edit": "Write", "multiedit": "MultiEdit", "notebookedit": "NotebookEdit", "todowrite": "TodoWrite", "grep": "Grep", "glob": "Glob", "webfetch": "WebFetch", "websearch": "WebSearch"}
 
 
 def _lookup(value: Column, table: dict[str, str], other: Column) -> Column:

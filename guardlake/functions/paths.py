@@ -71,14 +71,30 @@ def effective_path(path: Column, hits: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """Values of secret-like keys and bearer tokens are masked."""
-    keyed = F.regexp_replace(text, r"(?i)((?:api[_-]?key|token|secret|password)\s*[=:]\s*)[^\s,;]+", "$1[redacted]")
-    return F.regexp_replace(keyed, r"(?i)(bearer\s+)[a-z0-9._~+/=-]+", "$1[redacted]")
-
-
-#: Signs of failure and of success in tool output.
-ERROR_SIGNS = (r"(?i)\berror\b", r"(?i)\bexception\b", r"(?i)\btraceback\b", r"(?i)\bfailed\b", r"(?i)\bfatal\b", r"(?i)\bpanic\b", r"(?i)not found", r"(?i)permission denied", r"(?i)segmentation fault", r"(?i)\bcannot\b", r"(?i)\bundefined\b", r"(?i)\btimed? ?out\b", r"(?i)\bunable to\b", r"(?i)\binvalid\b")
-SUCCESS_SIGNS = (r"(?i)\b0 errors?\b", r"(?i)\ball (?:tests )?passed\b", r"(?i)\bno errors?\b", r"(?i)\bsuccess(?:ful|fully)?\b")
+    """Values that directly follow a secret's name, and bearer tokens of eight characters or more, are masked."""
+    keyed = F.regexp_replace(text, r"(?i)\b(api[_-]?key|token|secret|password|cookie|authorization)(=|:)\S+", "$1$2[REDACTED]")
+    return F.regexp_replace(keyed, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]")
+
+
+#: Signs of failure in tool output, signs that it is none, beginnings of commands that only read,
+#: commands whose failure means nothing.
+ERROR_SIGNS = (
+    r"(?i)\bFAILED\b.*test", r"(?i)\bFAIL\s+(?:src/|tests/)", r"(?i)Tests?:\s+\d+\s+failed", r"(?i)test result: FAILED", r"(?i)\d+\s+failed,\s+\d+\s+passed",
+    r"(?m)^.*:\d+:\d+:\s+error:", r"(?i)make:\s+\*\*\*.*Error\s+\d+", r"(?i)Build FAILED", r"(?i)compilation\s+error", r"Traceback \(most recent call last\)",
+    r"(?:SyntaxError|TypeError|NameError|ValueError|AttributeError|ImportError|KeyError|IndexError|RuntimeError|AssertionError|FileNotFoundError|ModuleNotFoundError|OSError|PermissionError):",
+    r"(?i)Found\s+\d+\s+error", r"(?i)error\[E\d+\]", "\u2717|\u2718",
+)
+SUCCESS_SIGNS = (
+    r"(?m)^\s*\d+\s+passed(?:\s+in\s+[\d.]+s)?\s*$", r"(?i)DEPRECATION:|DeprecationWarning|PendingDeprecationWarning",
+    r"(?i)\d+\s+warnings?\s+found\s+\(use\s+docker", r"(?i)Successfully\s+(built|installed|tagged|created)",
+)
+READ_ONLY = (
+    "grep ", "grep\t", "egrep ", "fgrep ", "rg ", "ag ", "ack ", "cat ", "head ", "tail ", "less ", "more ", "bat ", "ls ", "ls\t", "ll ", "dir ", "tree ", "du ", "df ", "wc ", "find ", "locate ", "fd ",
+    "git log", "git show", "git diff", "git status", "git blame", "git branch", "git tag", "git remote", "git stash list",
+    "which ", "whereis ", "type ", "file ", "stat ", "echo ", "printf ", "env", "printenv", "man ", "help ", "pwd",
+)
+READ_ONLY_FORMS = r"^(?:command\s+-v|type\s+|hash\s+|readlink\s+|realpath\s+|basename\s+|dirname\s+)"
+BENIGN_FORMS = r"(?i)^(?:(?:grep|egrep|fgrep|rg|ag|ack|diff)\b|test\s|\[\s|(?:which|command\s+-v|type\s+|hash\s+)\b|git\s+diff\b.*--exit-code|curl\b.*--fail)"
 
 
 def error_hits(text: Column) -> Column:
@@ -86,10 +102,28 @@ def error_hits(text: Column) -> Column:
 
 
 def is_error(text: Column, least: int = 10) -> Column:
-    """A failure sign in a text of some length, unless success is claimed and there is one sign only."""
+    """A sign of failure in a text of some length, unless there is one only and a sign that it is none."""
     hits = error_hits(text)
     claims = sum((text.rlike(p).cast("int") for p in SUCCESS_SIGNS), F.lit(0)) > 0
-    return (F.length(text) >= least) & (hits >= 1) & ~(claims & (hits <= 1))
+    return (F.length(F.trim(text)) >= least) & (hits >= 1) & ~(claims & (hits <= 1))
+
+
+def read_only_command(command: Column) -> Column:
+    """Commands that only show something, so that words of failure in their output mean nothing; of a pipe the first counts too."""
+
+    def starts(c: Column) -> Column:
+        out = F.lit(False)
+        for p in READ_ONLY:
+            out = out | c.startswith(p) | (c == p.strip())
+        return out
+
+    low = F.lower(F.trim(command))
+    return starts(low) | low.rlike(READ_ONLY_FORMS) | (low.contains("|") & starts(F.trim(F.element_at(F.split(low, r"\|"), 1))))
+
+
+def benign_failure(command: Column) -> Column:
+    """Commands whose exit code tells no failure, such as a search without a match."""
+    return F.regexp_replace(F.trim(command), r"(?i)^rtk\s+", "").rlike(BENIGN_FORMS)
 
 
 def constant_name(text: Column, limit: int = 48) -> Column:

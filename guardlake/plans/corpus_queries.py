@@ -52,19 +52,8 @@ def _fires(rule: R.Rule) -> str:
     return f"select doc_id, '{rule.rule_id}' as rule_id, '{rule.action}' as decision, '{rule.severity}' as severity, '{rule.message}' as message from documents where ({hit}){extra}"
 
 
-def _sql_error() -> str:
-    hits = " + ".join(f"cast(regexp_matches(text, '{p}') as int)" for p in P.ERROR_SIGNS)
-    claims = " or ".join(f"regexp_matches(text, '{p}')" for p in P.SUCCESS_SIGNS)
-    return f"select doc_id, cast({hits} as bigint) as hits from documents where length(text) >= 10 and ({hits}) >= 1 and not (({claims}) and ({hits}) <= 1)"
-
-
 QUERIES = {
     "regex_rule_hits": (lambda s, d: R.evaluate(targets(s, d), R.TEXT_RULES, ("doc_id",)), " union all ".join(map(_fires, R.TEXT_RULES))),
-    "redaction": (
-        lambda s, d: X.table(s, d, "documents").select("doc_id", F.sha2(P.redacted(F.col("text")), 256).alias("hash")),
-        r"""select doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)((?:api[_-]?key|token|secret|password)\s*[=:]\s*)[^\s,;]+', '\1[redacted]', 'g'), '(?i)(bearer\s+)[a-z0-9._~+/=-]+', '\1[redacted]', 'g')) as hash from documents""",
-    ),
-    "error_signals": (lambda s, d: X.table(s, d, "documents").where(P.is_error(F.col("text"))).select("doc_id", P.error_hits(F.col("text")).cast("long").alias("hits")), _sql_error()),
     "glob_filter": (
         lambda s, d: X.hook_events(s, d).where(P.matches_glob(F.col("path"), "*/DIR3/*1?.py") | P.matches_glob(F.col("path"), "f7*.py") | P.matches_glob(F.col("path"), "repo2/dir1/")).groupBy("path").agg(F.count("*").alias("n")),
         f"with {HE} select path, count(*) as n from he where regexp_matches(path, '^.*/dir3/.*1.\\.py$') or regexp_matches(regexp_extract(path, '[^/]*$'), '^f7.*\\.py$') or regexp_matches(path, '(^|/)repo2/dir1/') group by 1",
