@@ -167,8 +167,5 @@ select rule_id, sessions, repeating, cast(floor(cast(repeating as double) / sess
         f"""with {RF}, p as (select rule_id, event_name, tool_name, date_trunc('day', ts) as ts, count(*) as n from rf group by 1, 2, 3, 4), e as (select rule_id, arg_min(n, ts) as f, arg_max(n, ts) as l, count(*) as k from p group by rule_id, event_name, tool_name having count(*) > 1),
 g as (select rule_id, cast(sum(f) as bigint) as first, cast(sum(l) as bigint) as last from e group by 1) select *, cast(floor(least(cast(last as double) / first, 1.0) * 100 + 0.5) as bigint) as persistence from g""",
     ),
-    "source_facts": (lambda s, d: D.source_facts(_sources(s, d)).groupBy("kind").agg(F.count("*").alias("n"), F.max("lines").alias("lines")), None),
-    "size_violations": (lambda s, d: D.size_violations(D.source_facts(_sources(s, d))), None),
-    "semantic_clones": (lambda s, d: D.semantic_clones(D.source_facts(_sources(s, d))), None),
     "similar_functions": (lambda s, d: D.similar_texts(X.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id", "text"), None),
 }
