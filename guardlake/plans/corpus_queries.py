@@ -28,12 +28,12 @@ def _symbols(s, d):
 
 
 def _references(s, d):
-    i = X.table(s, d, "lineitem").where("l_quantity > 48")
-    return i.select(F.concat(F.when(F.col("l_partkey") % 2 == 0, "SYM").otherwise("mod.Sym"), F.col("l_partkey").cast("string")).alias("token"), F.concat(F.lit("test_"), (F.col("l_suppkey") % 40).cast("string"), F.lit(".py")).alias("test_path"))
+    n = F.col("l_suppkey") * 20 + F.col("l_linenumber")
+    return X.table(s, d, "lineitem").select(F.concat(F.when(n % 2 == 0, "SYM").otherwise("mod.Sym"), n.cast("string")).alias("token"), F.concat(F.lit("test_"), (F.col("l_suppkey") % 40).cast("string"), F.lit(".py")).alias("test_path"))
 
 
 SYM = """sym as (select 'sym' || p_partkey as name, 'mod.sym' || p_partkey as qualname, 'f' || (p_partkey % 50) || '.py' as path, p_name from part),
- ref as (select case when l_partkey % 2 = 0 then 'SYM' else 'mod.Sym' end || l_partkey as token, 'test_' || (l_suppkey % 40) || '.py' as test_path from lineitem where l_quantity > 48)"""
+ ref as (select case when (l_suppkey * 20 + l_linenumber) % 2 = 0 then 'SYM' else 'mod.Sym' end || (l_suppkey * 20 + l_linenumber) as token, 'test_' || (l_suppkey % 40) || '.py' as test_path from lineitem)"""
 
 
 def _sources(s, d):

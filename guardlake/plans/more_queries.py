@@ -21,11 +21,11 @@ def _summary(s, d):
 
 def _imports(s, d):
     p = X.table(s, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("pkg"), (F.col("p_partkey") % 9).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit(".m"), (F.col("p_size") % 11).cast("string")))).alias("module"))
+    return p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("pkg"), (F.col("p_partkey") % 11).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit(".m"), (F.col("p_size") % 11).cast("string")))).alias("module"))
 
 
 def _modules(s, d):
-    return X.table(s, d, "supplier").where("s_suppkey % 9 <> 4").select(F.concat(F.lit("pkg"), (F.col("s_suppkey") % 9).cast("string"), F.lit(".m"), (F.col("s_suppkey") % 7).cast("string")).alias("module"))
+    return X.table(s, d, "supplier").select(F.concat(F.lit("pkg"), (F.col("s_suppkey") % 9).cast("string"), F.lit(".m"), (F.col("s_suppkey") % 7).cast("string")).alias("module"))
 
 
 QUERIES = {
@@ -67,12 +67,12 @@ select * from h join t using (session_id, path) where last_touch > last_hit""",
     ),
     "obsolete_imports": (
         lambda s, d: O.obsolete_imports(_imports(s, d), _modules(s, d)).select("id", "module"),
-        """with m as (select distinct 'pkg' || (s_suppkey % 9) || '.m' || (s_suppkey % 7) as module from supplier where s_suppkey % 9 <> 4), k as (select module from m union select split_part(module, '.', 1) from m),
-i as (select p_partkey as id, 'pkg' || (p_partkey % 9) || case when p_partkey % 3 = 0 then '' else '.m' || (p_size % 11) end as module from part) select id, module from i where module not in (select module from k)""",
+        """with m as (select distinct 'pkg' || (s_suppkey % 9) || '.m' || (s_suppkey % 7) as module from supplier), k as (select module from m union select split_part(module, '.', 1) from m),
+i as (select p_partkey as id, 'pkg' || (p_partkey % 11) || case when p_partkey % 3 = 0 then '' else '.m' || (p_size % 11) end as module from part) select id, module from i where module not in (select module from k)""",
     ),
     "literal_constants": (
-        lambda s, d: O.constant_for(X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("value")), X.table(s, d, "part").where("p_size > 20").select(F.col("p_size").cast("long").alias("value"), F.col("p_type").alias("path"), (F.col("p_partkey") % 90).alias("line"), F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("name"))).groupBy("value", "constant", "constant_path").agg(F.count("*").alias("n")),
-        """with c as (select cast(p_size as bigint) as value, p_type as path, p_partkey % 90 as line, 'C' || p_partkey as name from part where p_size > 20), f as (select value, arg_min(name, (path, line, name)) as constant, arg_min(path, (path, line, name)) as constant_path from c group by 1)
+        lambda s, d: O.constant_for(X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("value")), X.table(s, d, "part").select(F.col("p_size").cast("long").alias("value"), F.col("p_type").alias("path"), (F.col("p_partkey") % 90).alias("line"), F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("name"))).groupBy("value", "constant", "constant_path").agg(F.count("*").alias("n")),
+        """with c as (select cast(p_size as bigint) as value, p_type as path, p_partkey % 90 as line, 'C' || p_partkey as name from part), f as (select value, arg_min(name, (path, line, name)) as constant, arg_min(path, (path, line, name)) as constant_path from c group by 1)
 select l.value as value, constant, constant_path, count(*) as n from (select cast(l_quantity as bigint) as value from lineitem) l left join f using (value) group by 1, 2, 3""",
     ),
     "rule_counterparts": (
@@ -108,7 +108,7 @@ select *, case when age_minutes <= 60 then 'fresh' when age_minutes <= 360 then
         f"with {RF}, e as (select session_id, ts, seq, path from he where event_name = 'PreToolUse') select rf.seq as seq, rf.session_id as session_id, (select arg_max(e.path, (e.ts, e.seq)) from e where e.session_id = rf.session_id and e.ts <= rf.ts) as near_path from rf where {ENF}",
     ),
     "integration_seams": (
-        lambda s, d: Q._symbols(s, d).where("p_size >= 30").join(Q._references(s, d).where("test_path rlike '_[0-9]\\\\.py$'").select(F.regexp_replace(F.lower("token"), r"^mod\.", "").alias("name")), "name", "left_anti").select("name", "path"),
-        "with ref as (select replace(lower(case when l_partkey % 2 = 0 then 'SYM' else 'mod.Sym' end || l_partkey), 'mod.', '') as name from lineitem where l_quantity > 48 and l_suppkey % 40 < 10) select 'sym' || p_partkey as name, 'f' || (p_partkey % 50) || '.py' as path from part where p_size >= 30 and 'sym' || p_partkey not in (select name from ref)",
+        lambda s, d: Q._symbols(s, d).join(Q._references(s, d).where("test_path rlike '_[0-9]\\\\.py$'").select(F.regexp_replace(F.lower("token"), r"^mod\.", "").alias("name")), "name", "left_anti").select("name", "path"),
+        "with ref as (select replace(lower(case when (l_suppkey * 20 + l_linenumber) % 2 = 0 then 'SYM' else 'mod.Sym' end || (l_suppkey * 20 + l_linenumber)), 'mod.', '') as name from lineitem where l_suppkey % 40 < 10) select 'sym' || p_partkey as name, 'f' || (p_partkey % 50) || '.py' as path from part where 'sym' || p_partkey not in (select name from ref)",
     ),
 }

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from guardlake.functions.decisions import ENFORCEMENT, is_in
+from guardlake.operators.state import KEY
 
 
 def timed(rows: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -51,7 +52,7 @@ class DenyCounter(StatefulProcessor):
             part = part.sort_values("seq")
             repeat = range(n + 1, n + 1 + len(part))
             n += len(part)
-            yield pd.DataFrame({"session_id": key[0], "rule_id": key[1], "seq": part["seq"], "repeat": list(repeat), "escalated": [r >= 3 for r in repeat]})
+            yield pd.DataFrame({**dict(zip(KEY, key)), "seq": part["seq"], "repeat": list(repeat), "escalated": [r >= 3 for r in repeat]})
         self.count.update((n,))
 
     def close(self) -> None:
@@ -59,11 +60,35 @@ class DenyCounter(StatefulProcessor):
 
 
 def escalations(findings: DataFrame) -> DataFrame:
-    """Streaming twin of the batch escalation, keyed by session and rule."""
-    hits = findings.where(is_in(F.col("decision"), ENFORCEMENT)).select("session_id", "rule_id", "seq")
-    return hits.groupBy("session_id", "rule_id").transformWithStateInPandas(
-        statefulProcessor=DenyCounter(), outputStructType="session_id string, rule_id string, seq long, repeat long, escalated boolean", outputMode="Append", timeMode="None"
-    )
+    """Streaming twin of the batch escalation, with the same key; findings without path or attempt share one of each."""
+    hits = findings.where(is_in(F.col("decision"), ENFORCEMENT)).fillna({"path": "__pathless__", "attempt": "__unknown_attempt__"}).select(*KEY, "seq")
+    schema = ", ".join(f"{c} string" for c in KEY) + ", seq long, repeat long, escalated boolean"
+    return hits.groupBy(*KEY).transformWithStateInPandas(statefulProcessor=DenyCounter(), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+class Reminder(StatefulProcessor):
+    """Lets the first row of each key pass, and again once the key has not been let through for its lifetime."""
+
+    def __init__(self, seconds: int) -> None:
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", StructType([StructField("seq", LongType())]), ttlDurationMs=1000 * self.seconds)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seqs = [x for part in rows for x in part["seq"].tolist()]
+        if not self.seen.exists():
+            self.seen.update((min(seqs),))
+            yield pd.DataFrame({"session_id": [key[0]], "topic": [key[1]], "seq": [min(seqs)]})
+
+    def close(self) -> None:
+        pass
+
+
+def reminders(rows: DataFrame, topic: str, seconds: int = 3600) -> DataFrame:
+    """Once per session and topic, and again when the state, kept for ``seconds`` of processing time, has expired."""
+    keyed = rows.select("session_id", F.col(topic).alias("topic"), "seq").groupBy("session_id", "topic")
+    return keyed.transformWithStateInPandas(statefulProcessor=Reminder(seconds), outputStructType="session_id string, topic string, seq long", outputMode="Append", timeMode="ProcessingTime")
 
 
 def upsert(path: str, key: list[str]):

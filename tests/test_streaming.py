@@ -17,10 +17,17 @@ def drained(stream, name, mode="append"):
 
 
 def test_counter_equals_batch(spark, sf, tmp_path):
-    f = proxies.rule_findings(spark, sf).select("session_id", "rule_id", "seq", "decision", "severity")
+    f = proxies.rule_findings(spark, sf).select("session_id", "rule_id", "path", F.when(F.col("k") % 3 > 0, F.concat(F.lit("a"), (F.col("k") % 2).cast("string"))).alias("attempt"), "seq", "decision", "severity")
     got = drained(live.escalations(staged(spark, f, str(tmp_path / "in"), 1)), "escalated")
-    want = state.escalated(f, ("session_id", "rule_id"))
-    assert sorted(r[:] for r in got.select("session_id", "rule_id", "seq", "repeat").collect()) == sorted(r[:] for r in want.select("session_id", "rule_id", "seq", "repeat").collect())
+    columns = (*state.KEY, "seq", "repeat")
+    assert sorted(r[:] for r in got.select(*columns).collect()) == sorted(r[:] for r in state.escalated(f).select(*columns).collect())
+
+
+def test_reminders_come_once_while_they_live(spark, sf, tmp_path):
+    e = proxies.hook_events(spark, sf).select("session_id", "tool_name", "seq")
+    got = drained(live.reminders(staged(spark, e, str(tmp_path / "in"), 1), "tool_name"), "reminded")
+    want = e.groupBy("session_id", F.col("tool_name").alias("topic")).agg(F.min("seq").alias("seq"))
+    assert sorted(r[:] for r in got.collect()) == sorted(r[:] for r in want.collect())
 
 
 def test_windows_equal_batch(spark, sf, tmp_path):
