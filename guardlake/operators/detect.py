@@ -5,12 +5,13 @@ from __future__ import annotations
 import ast
 import hashlib
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardlake.storage import saved
+
 
 def duplicate_groups(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Groups of equal texts. Only the hash is shuffled, and it is counted before that."""
@@ -178,25 +179,28 @@ def semantic_clones(facts: DataFrame, least_lines: int = 5) -> DataFrame:
     return f.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.concat_ws(":", "path", "name")).alias("first")).where("n > 1")
 
 
-def similar_texts(rows: DataFrame, id_col: str, text_col: str, ratio: float = 0.8, shingle: int = 5, hashes: int = 48, bands: int = 16) -> DataFrame:
-    """Pairs of texts whose matching ratio is ``ratio`` or more, equal texts aside: candidates meet in
-    bands of MinHash values over word shingles, each candidate with its band's first text, then the
-    exact ratio decides. Equal texts collapse before.
+def similar_texts(rows: DataFrame, id_col: str, text_col: str, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``(a, b, ratio)``: pairs of different texts whose word shingles overlap by ``least`` or more (Jaccard).
+
+    Exact: of two such sets, ordered from rare to frequent in the corpus, the first
+    ``size - ceil(least * size) + 1`` members share one, so pairs meet on those alone and texts
+    meet on their rarest shingles. Equal texts collapse to the smallest id; null texts take no part;
+    texts of fewer words are one shingle.
     """
     words = F.filter(F.split(F.lower(text_col), r"\s+"), lambda w: w != "")
-    sets = F.when(F.size(words) >= shingle, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - shingle + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " "))))).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
-    t = rows.groupBy(text_col).agg(F.min(id_col).alias("id")).withColumn("s", sets)
-    mins = [F.array_min(F.transform("s", lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(hashes)]
-    width = hashes // bands
-    keys = F.array(*(F.xxhash64(F.lit(b), *mins[b * width : (b + 1) * width]) for b in range(bands)))
-    banded = t.select("id", F.explode(keys).alias("band"))
-    first = banded.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
-    pairs = banded.join(first, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    texts = t.select("id", F.col(text_col).alias("text"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-
-    @F.pandas_udf("double")
-    def matching(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p.split(), q.split(), autojunk=False).ratio() for p, q in zip(x, y)])
-
-    return both.select("a", "b", matching("ta", "tb").alias("ratio")).where(F.col("ratio") >= ratio)
+    parts = F.transform(F.sequence(F.lit(1), F.size("w") - shingle + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, shingle), " ")))
+    whole = F.array(F.xxhash64(F.array_join("w", " ")))
+    texts = rows.where(F.col(text_col).isNotNull()).groupBy(text_col).agg(F.min(id_col).alias("id")).select("id", words.alias("w"))
+    sets = saved(texts.select("id", F.when(F.size("w") >= shingle, F.array_distinct(parts)).otherwise(whole).alias("s")).withColumn("n", F.size("s")))
+    each = sets.select("id", "n", F.explode("s").alias("x"))
+    counts = each.groupBy("x").agg(F.count("*").alias("k"))
+    ranked = each.join(counts, "x").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("r"))
+    first = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
+    heads = saved(ranked.select("id", "n", F.explode(first).alias("h")).where("h.k > 1").select("id", "n", F.col("h.x").alias("x")))
+    other = heads.select(F.col("id").alias("b"), F.col("n").alias("m"), "x")
+    near = (F.col("id") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
+    pairs = heads.join(other, "x").where(near).select(F.col("id").alias("a"), "b").distinct()
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return both.select("a", "b", (shared / (F.size("s_a") + F.size("s_b") - shared)).alias("ratio")).where(F.col("ratio") >= least)

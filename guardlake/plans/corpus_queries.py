@@ -167,5 +167,11 @@ select rule_id, sessions, repeating, cast(floor(cast(repeating as double) / sess
         f"""with {RF}, p as (select rule_id, event_name, tool_name, date_trunc('day', ts) as ts, count(*) as n from rf group by 1, 2, 3, 4), e as (select rule_id, arg_min(n, ts) as f, arg_max(n, ts) as l, count(*) as k from p group by rule_id, event_name, tool_name having count(*) > 1),
 g as (select rule_id, cast(sum(f) as bigint) as first, cast(sum(l) as bigint) as last from e group by 1) select *, cast(floor(least(cast(last as double) / first, 1.0) * 100 + 0.5) as bigint) as persistence from g""",
     ),
-    "similar_functions": (lambda s, d: D.similar_texts(X.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id", "text"), None),
+    "similar_functions": (
+        lambda s, d: D.similar_texts(X.table(s, d, "documents"), "doc_id", "text"),
+        r"""with t as (select text, min(doc_id) as id from documents where text is not null group by 1), w as (select id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as ws from t),
+s as (select id, unnest(case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) else [array_to_string(ws, ' ')] end) as x from w), n as (select id, count(*) as k from s group by 1),
+p as (select a.id as a, b.id as b, count(*) as c from s a join s b on a.x = b.x and a.id < b.id group by 1, 2)
+select a, b, c / (na.k + nb.k - c) as ratio from p join n na on na.id = a join n nb on nb.id = b where c >= 0.8 * (na.k + nb.k - c)""",
+    ),
 }
