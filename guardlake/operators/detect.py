@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,6 +97,10 @@ class _Plain(ast.NodeTransformer):
         return ast.copy_location(ast.Constant(type(node.value).__name__), node)
 
 
+#: What a branch count tells apart.
+BRANCHES = {"if": ast.If, "loop": (ast.For, ast.While, ast.AsyncFor), "except": ast.ExceptHandler, "bool": ast.BoolOp}
+
+
 def facts_of(path: str, text: str) -> list[tuple]:
     """Rows (path, kind, name, line, lines, params, complexity, depth, hash, detail) of one file."""
     try:
@@ -112,6 +117,15 @@ def facts_of(path: str, text: str) -> list[tuple]:
             plain = ast.dump(_Plain().visit(ast.Module([ast.parse(ast.unparse(s)).body[0] for s in body], [])))
             asserts = sum(isinstance(x, ast.Assert) for x in ast.walk(node))
             out.append((path, "function", node.name, node.lineno, size, params, _complexity(node), _depth(node), hashlib.sha256(plain.encode()).hexdigest()[:16], f"asserts={asserts}"))
+            kinds = {k: sum(isinstance(x, t) for x in ast.walk(node)) for k, t in BRANCHES.items()}
+            if any(kinds.values()):
+                out.append((path, "branches", node.name, node.lineno, kinds["if"], kinds["loop"], kinds["except"], kinds["bool"], "", ""))
+            out += [(path, "param", a.arg, node.lineno, i, 0, 0, 0, "", node.name) for i, a in enumerate(args) if a.arg not in ("self", "cls")]
+            if any(re.fullmatch(r"(pytest\.)?fixture", ast.unparse(d.func if isinstance(d, ast.Call) else d)) for d in node.decorator_list):
+                out.append((path, "fixture", node.name, node.lineno, 0, 0, 0, 0, "", ""))
+        elif isinstance(node, ast.Try):
+            called = dict.fromkeys(getattr(x.func, "attr", getattr(x.func, "id", "")) for s in node.body for x in ast.walk(s) if isinstance(x, ast.Call))
+            out += [(path, "try_call", c, node.lineno, i, 0, 0, 0, "", "") for i, c in enumerate(called) if c]
         elif isinstance(node, ast.ClassDef):
             methods = sum(isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) for x in node.body)
             out.append((path, "class", node.name, node.lineno, node.end_lineno - node.lineno + 1, methods, 0, 0, "", ""))

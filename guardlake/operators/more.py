@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlake.functions.decisions import ENFORCEMENT, SESSION_ORDER, first_of, is_in
+from guardlake.storage import saved
 
 
 def group_merge(summaries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -42,9 +43,9 @@ def changed_rows(rows: DataFrame, key: str, signature: Column) -> DataFrame:
 
 
 def page_of(rows: DataFrame, order: list[Column], size: int = 15) -> DataFrame:
-    """The page each row stands on. Ranks come from a range sort: a partition's rows are counted,
-    and only the counts meet in one task."""
-    ordered = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    """The page each row stands on. Ranks come from a range sort, written once: a partition's rows are
+    counted, and only the counts meet in one task."""
+    ordered = saved(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
     before = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = before.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = ordered.join(F.broadcast(before), "_part")

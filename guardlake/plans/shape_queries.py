@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from guardlake.operators import detect as D
-from guardlake.operators import smells
+from guardlake.operators import enrichers, smells
 from guardlake.plans import proxies as X
 from guardlake.plans.guard_queries import _pick, _values
 
@@ -63,6 +63,33 @@ def _sql(rule: str, columns: str, rows) -> str:
     )
 
 
+#: Files of one folder for the enrichers, and the hints that their violations get: file, rule, identifier, detail, hint.
+HINTED = (
+    ("t/w.py", "def a(x):\n    return b(x)\n\n\ndef c(x):\n    return d(x)\n\n\na(1)\na(2)\n"),
+    ("t/use.py", "c(1)\n"),
+    ("t/conftest.py", "@pytest.fixture\ndef one():\n    return 1\n\n\n@fixture()\ndef two():\n    return 2\n"),
+    ("t/test_x.py", "@pytest.fixture\ndef mine():\n    return 3\n"),
+    ("u/test_y.py", "@pytest.fixture\ndef yours():\n    return 3\n"),
+    ("t/many.py", "def f(p, q, r, s, t):\n    if p:\n        pass\n    for x in q:\n        for y in r:\n            if x or y:\n                pass\n    if r: pass\n    if s: pass\n    if t: pass\n    if p: pass\n    if q: pass\n    while p and q and r: pass\n"),
+    ("t/quiet.py", "try:\n    load(1)\n    x.parse()\n    load(2)\nexcept ValueError:\n    pass\n"),
+)
+HINTS = (
+    (0, "unnecessary-wrapper", "a", "delegates to b", "called 2 times in this file"),
+    (0, "unnecessary-wrapper", "c", "delegates to d", "called in t/use.py"),
+    (3, "fixture-outside-conftest", "mine", "line 2", "move to conftest.py: one, two"),
+    (4, "fixture-outside-conftest", "yours", "line 2", "make a conftest.py"),
+    (5, "too-many-params", "f:1", "5", "group: p, q, r, s, t"),
+    (5, "high-complexity", "f:1", "14", "7 if, 3 loops - a table of cases; a function for each loop"),
+    (6, "silent-except", "5", "5", "may raise: load, parse"),
+)
+
+
+def _enriched(s, d):
+    files = s.createDataFrame(list(HINTED), "path string, text string")
+    facts = D.source_facts(files)
+    return enrichers.enriched(D.size_violations(facts).union(smells.shape_violations(files)), facts)
+
+
 #: The generated functions of ``corpus_queries``: n loops of two lines, k parameters, some files broken.
 GENERATED = "g as (select 'src/m' || p_partkey || '.py' as path, 'fn' || p_partkey as name, p_size + 10 as n, p_size % 7 + 1 as k, p_partkey % 97 = 0 as broken from part)"
 
@@ -80,7 +107,8 @@ QUERIES = {
     "source_facts": (
         lambda s, d: _sources(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.max("lines").alias("lines")),
         f"with {GENERATED} select 'module' as kind, count(*) as n, max(2 * n + 6) as lines from g where not broken union all select 'function', count(*), max(2 * n + 1) from g where not broken "
-        "union all select 'import', count(*), 0 from g where not broken union all select 'literal', sum(2 * n)::bigint, 0 from g where not broken union all select 'parse_error', count(*), 0 from g where broken having count(*) > 0",
+        "union all select 'import', count(*), 0 from g where not broken union all select 'literal', sum(2 * n)::bigint, 0 from g where not broken union all select 'branches', count(*), max(n) from g where not broken union all select 'param', sum(k)::bigint, max(k - 1) from g where not broken "
+        "union all select 'parse_error', count(*), 0 from g where broken having count(*) > 0",
     ),
     "size_violations": (
         lambda s, d: D.size_violations(_sources(s, d)),
@@ -93,6 +121,10 @@ union all select 'python-parse-error', path, (2 * n + 6)::varchar, (2 * n + 6)::
         lambda s, d: D.semantic_clones(_sources(s, d)).select("n", "first"),
         f"with {GENERATED} select count(*) as n, min(path || ':' || name) as first from g where not broken group by g.n having count(*) > 1",
     ),
+    "enriched_violations": (
+        _enriched,
+        f"select rule, f.path as relative_path, identifier, detail, hint from {_values(enumerate(p for p, _ in HINTED))} f(n, path) join {_values(HINTS)} x(file, rule, identifier, detail, hint) on file = n",
+    ),
     "repeated_helpers": (
         lambda s, d: smells.repeated_helpers(D.source_facts(_files(s, d).withColumn("text", F.concat(F.lit("def _help"), F.length("path").cast("string"), F.lit("():\n    pass\n"))))),
         f"select '_help' || length(path) as name, count(*) as files, min(path) as first_path from (select 'r' || c_custkey || '/' || f.path as path from customer join {_values(enumerate(p for p, _ in FILES))} f(n, path) on c_custkey % {len(FILES)} = n) group by 1 having count(*) >= 3",
