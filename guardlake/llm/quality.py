@@ -22,7 +22,8 @@ from guardlake.llm import words as W
 from guardlake.llm.common import saved, table
 
 #: Labelled documents that the classifier is fitted on (those with the smallest hashes), and features kept per target.
-MAX_LABELLED, MAX_FEATURES = 20_000, 512
+#: Labelled rows that the document classifier is fitted on at most.
+MAX_LABELLED = 20_000
 TARGETS = ("low", "toxic")
 
 _byte = np.arange(256)
@@ -83,27 +84,28 @@ def _known(key: np.ndarray, f: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
     return pair // len(key), pair % len(key)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 200) -> np.ndarray:
-    """Weights and offset of a ridge logistic regression, by accelerated gradient steps."""
-    z = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    shrink = np.append(np.full(x.shape[1], ridge), 1e-6).astype(np.float32)
-    v = np.ones(z.shape[1], np.float32)
+def _logistic(row: np.ndarray, col: np.ndarray, width: int, y: np.ndarray, ridge: float = 0.3, steps: int = 200) -> np.ndarray:
+    """Weights and offset of a ridge logistic regression on sparse zero-one features, by accelerated gradient steps."""
+    times = lambda v: np.bincount(row, weights=v[col], minlength=len(y)) + v[-1]
+    back = lambda g: np.append(np.bincount(col, weights=g[row], minlength=width), g.sum())
+    shrink = np.append(np.full(width, ridge), 1e-6)
+    v, top = np.ones(width + 1), 1.0
     for _ in range(15):  # the largest eigenvalue bounds the step
-        v = z.T @ (z @ v)
+        v = back(times(v))
         top = np.linalg.norm(v)
         v /= top
-    rate = np.float32(1 / (top / 4 + ridge))
-    w = ahead = np.zeros(z.shape[1], np.float32)
+    rate = 1 / (top / 4 + ridge)
+    w = ahead = np.zeros(width + 1)
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ ahead, -35, 35)))
-        new = ahead - rate * (z.T @ (p - y) + shrink * ahead)
-        ahead = new + np.float32(k / (k + 3)) * (new - w)
+        p = 1 / (1 + np.exp(-np.clip(times(ahead), -35, 35)))
+        new = ahead - rate * (back(p - y) + shrink * ahead)
+        ahead = new + k / (k + 3) * (new - w)
         w = new
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> dict | None:
-    """The document classifier; null, and rows without ``quality`` or ``toxic``, are left out. None without labels."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> dict | None:
+    """The document classifier, on every feature that tells a label better than chance; null, and rows without ``quality`` or ``toxic``, are left out. None without labels."""
     known = labels.where("quality is not null and toxic is not null").groupBy(id_col).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where(F.col(id_col).isNotNull())
     known = saved(known)
     # the smallest hashes: a range of them that holds a few more, so that no task merges many partitions' smallest
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         gains.append(2 * (share(a, pos / n) + share(b, neg / n) + absent(a, pos, pos / n) + absent(b, neg, neg / n)) if pos and neg else F.lit(0.0))
     scored = saved(counts.where(F.col("n") > 2).select("f", *(g.alias(t) for g, t in zip(gains, TARGETS))))
     floor = float(2 * np.log(scored.count() + 1) + 4)  # far above what chance gives so many features
-    best = [scored.where(F.col(t) > floor).orderBy(F.col(t).desc(), "f").limit(max_features).select("f").toArrow()["f"].to_numpy() for t in TARGETS]
+    best = [scored.where(F.col(t) > floor).select("f").toArrow()["f"].to_numpy() for t in TARGETS]
     key = np.unique(np.concatenate(best).view(np.uint64))
     shared = spark.sparkContext.broadcast(key)
 
@@ -138,15 +140,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(f) + 1)), pa.int32()), pa.array(place.astype(np.int32)))
             yield pa.record_batch([b.column("low"), b.column("toxic"), lists], names=["low", "toxic", "at"])
 
-    rows = seen.mapInArrow(known_features, "low int, toxic int, at array<int>").toArrow().combine_chunks()  # bounded by max_labelled and 2 * max_features
+    rows = seen.mapInArrow(known_features, "low int, toxic int, at array<int>").toArrow().combine_chunks()  # bounded by max_labelled
     at = rows["at"].combine_chunks()
     at = at.chunk(0) if isinstance(at, pa.ChunkedArray) else at
-    x = np.zeros((rows.num_rows, len(key)), np.float32)
-    x[np.repeat(np.arange(rows.num_rows), np.asarray(at.value_lengths())), np.asarray(at.flatten())] = 1
+    row, place = np.repeat(np.arange(rows.num_rows), np.asarray(at.value_lengths())), np.asarray(at.flatten())
     weight, offset = np.zeros((len(key), len(TARGETS))), []
     for j, t in enumerate(TARGETS):
         own = np.searchsorted(key, np.sort(best[j].view(np.uint64)))
-        w = _logistic(x[:, own], rows[t].to_numpy().astype(np.float32))
+        column = np.full(len(key), -1)
+        column[own] = np.arange(len(own))
+        mine = column[place] >= 0
+        w = _logistic(row[mine], column[place[mine]], len(own), rows[t].to_numpy().astype(np.float64))
         weight[own, j] = w[:-1]
         offset.append(float(w[-1]))
     return {"key": key, "weight": weight, "offset": offset}
@@ -166,6 +170,13 @@ def _rated(model):
     return run
 
 
+def _pull(between: float, groups: int, freedom: float, mean: float) -> float:
+    """How many documents the broader mean weighs: the variance within groups over that between them, by moments."""
+    within = mean * (1 - mean)
+    variance = max((between - groups * within) / freedom, 1e-9) if freedom > 0 else 1e-9
+    return min(max(within / variance - 1, 1.0), 1e6)
+
+
 def _logit(c):
     return F.log(c / (1 - c))
 
@@ -187,9 +198,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rated = saved(src.mapInArrow(_rated(spark.sparkContext.broadcast(model)), schema))
     paths = rated.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(t).alias(f"s_{t}") for t in TARGETS))
     paths = saved(paths)
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *(F.sum(f"s_{t}").alias(f"h_{t}") for t in TARGETS))
+    squares = lambda part, n: F.sum(F.col(part) * F.col(part) / F.col(n))
+    hosts = paths.groupBy("host").agg(
+        F.sum("n").alias("hn"), F.count("*").alias("hk"), F.sum(F.col("n") * F.col("n")).alias("h_nn"),
+        *(F.sum(f"s_{t}").alias(f"h_{t}") for t in TARGETS), *(squares(f"s_{t}", "n").alias(f"p_{t}") for t in TARGETS),
+    )
     hosts = saved(hosts)
-    spread = hosts.agg(F.sum("hn").alias("n"), F.count("*").alias("k"), *(F.sum(f"h_{t}").alias(t) for t in TARGETS), *(F.sum(F.col(f"h_{t}") * F.col(f"h_{t}") / F.col("hn")).alias(f"q_{t}") for t in TARGETS), F.sum(F.col("hn") * F.col("hn")).alias("nn")).first()
+    spread = hosts.agg(
+        F.sum("hn").alias("n"), F.count("*").alias("k"), F.sum("hk").alias("paths"), F.sum(F.col("hn") * F.col("hn")).alias("nn"), F.sum(F.col("h_nn") / F.col("hn")).alias("path_nn"),
+        *(F.sum(f"h_{t}").alias(t) for t in TARGETS), *(squares(f"h_{t}", "hn").alias(f"q_{t}") for t in TARGETS), *(F.sum(f"p_{t}").alias(f"p_{t}") for t in TARGETS),
+    ).first()
     if not spread["n"]:
         null = F.lit(None).cast("double")
         return docs.select(id_col, *(null.alias(c) for c in ("doc_low", "doc_toxic", "low", "toxic")), F.lit(True).alias("keep"))
@@ -197,13 +215,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     out = {}
     for t in TARGETS:
         mean = min(max(spread[t] / spread["n"], 1e-6), 1 - 1e-6)
-        between = spread[f"q_{t}"] - spread["n"] * mean * mean  # sum of squares between hosts
-        within = mean * (1 - mean)
-        freedom = spread["n"] - spread["nn"] / spread["n"]
-        variance = max((between - (spread["k"] - 1) * within) / freedom, 1e-9) if freedom > 0 else 1e-9
-        pull = min(max(within / variance - 1, 1.0), 1e6)
-        host = (F.col(f"h_{t}") - F.col(t) + pull * mean) / (F.col("hn") - 1 + pull)
-        path = (F.col(f"s_{t}") - F.col(t) + pull * host) / (F.col("n") - 1 + pull)
+        # sums of squares between hosts, and between the paths of a host
+        hosts_pull = _pull(spread[f"q_{t}"] - spread["n"] * mean * mean, spread["k"] - 1, spread["n"] - spread["nn"] / spread["n"], mean)
+        paths_pull = _pull(spread[f"p_{t}"] - spread[f"q_{t}"], spread["paths"] - spread["k"], spread["n"] - spread["path_nn"], mean)
+        host = (F.col(f"h_{t}") - F.col(t) + hosts_pull * mean) / (F.col("hn") - 1 + hosts_pull)
+        path = (F.col(f"s_{t}") - F.col(t) + paths_pull * host) / (F.col("n") - 1 + paths_pull)
         odds = _logit(F.col(t)) + site * (_logit(F.least(F.greatest(path, F.lit(1e-6)), F.lit(1 - 1e-6))) - _logit(F.lit(mean)))
         out[t] = 1 / (1 + F.exp(-odds))
     done = here.select(F.col("id").alias(id_col), *(F.col(t).alias(f"doc_{t}") for t in TARGETS), *(out[t].alias(t) for t in TARGETS))

@@ -141,6 +141,31 @@ def test_sparse_sites_shrink(spark):
     assert abs(got[200].low - got[200].doc_low) < 0.05 < got[201].low - got[201].doc_low
 
 
+def test_posteriors_equal_brute_force(spark, sf, docs):
+    """Host and path means, their variances and the fusion, from the documents' own probabilities."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.classify(docs.withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.col("lang"))), labels).collect()
+    site = {r.doc_id: (r.source or "", r.lang if r.doc_id % 7 else "") for r in docs.collect()}
+    for t in quality.TARGETS:
+        p = {r.doc_id: r[f"doc_{t}"] for r in got}
+        n, mean = len(p), sum(p.values()) / len(p)
+        hosts, paths = {}, {}
+        for i, x in p.items():
+            hosts.setdefault(site[i][0], []).append(x)
+            paths.setdefault(site[i], []).append(x)
+        total = lambda groups: sum(sum(g) ** 2 / len(g) for g in groups.values())
+        inside = sum(len(g) ** 2 / len(hosts[h]) for (h, _), g in paths.items())
+        pull_host = quality._pull(total(hosts) - n * mean**2, len(hosts) - 1, n - sum(len(g) ** 2 for g in hosts.values()) / n, mean)
+        pull_path = quality._pull(total(paths) - total(hosts), len(paths) - len(hosts), n - inside, mean)
+        for r in got:
+            x, h, s = p[r.doc_id], hosts[site[r.doc_id][0]], paths[site[r.doc_id]]
+            host = (sum(h) - x + pull_host * mean) / (len(h) - 1 + pull_host)
+            path = min(max((sum(s) - x + pull_path * host) / (len(s) - 1 + pull_path), 1e-6), 1 - 1e-6)
+            logit = lambda q: np.log(q / (1 - q))
+            want = 1 / (1 + np.exp(-(logit(x) + 0.5 * (logit(path) - logit(mean)))))
+            assert abs(r[t] - want) < 1e-6
+
+
 # 4 ------------------------------------------------------------------------------------
 
 
