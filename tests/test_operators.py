@@ -33,8 +33,8 @@ def test_globs(spark, path, glob, hit):
 
 
 def test_text_functions(spark):
-    assert one(spark, P.redacted(F.lit("token=abc, x Bearer aa.bb")))[0] == "token=[redacted], x Bearer [redacted]"
-    assert one(spark, P.is_error(F.lit("Traceback: failed badly")), P.is_error(F.lit("failed: 0 errors, all passed")), P.is_error(F.lit("error")))[:] == (True, False, False)
+    assert one(spark, P.redacted(F.lit("token=abc, x Bearer aa.bb Bearer abcdefgh")))[0] == "token=[REDACTED] x Bearer aa.bb Bearer [REDACTED]"
+    assert one(spark, P.is_error(F.lit("Traceback (most recent call last)")), P.is_error(F.lit("it failed badly: 0 errors")), P.is_error(F.lit("KeyError:")))[:] == (True, False, False)
     assert one(spark, P.repo_label(F.lit("/x/repos/r1/a.py")), P.repo_label(F.lit("/home/u/p/a")), P.repo_label(F.lit("a")))[:] == ("r1", "p", None)
     assert one(spark, P.effective_path(F.lit(""), F.array(F.lit("content"), F.lit("a/venv/b"), F.lit("src/x"))))[0] == "src/x"
     assert one(spark, P.trimmed(F.lit("abcdef"), 3))[0] == "abc…[trimmed]"
