@@ -36,8 +36,9 @@ LETTER = np.array([65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(25
 #: and the model that is broadcast has 262 MB at most (64 KB a language).
 LEAST_SHARE = 1 / 4000
 #: Languages whose text evidence is so many nats behind the best are left out of a row; texts whose
-#: evidence a letter is so many nats below that of the language's own texts are in no known language.
-BEHIND, FAR = 60.0, 3.0
+#: evidence a letter is this share of the way down, from that of the language's own texts to that of
+#: a trigram never seen, are in no known language.
+BEHIND, FAR = 60.0, 0.6
 #: Weight, in documents, of the belief that declarations tell the truth nine times in ten.
 TRUST = 10.0
 
@@ -99,7 +100,7 @@ def _packed(t: pa.Table) -> pa.Table:
 
 
 def text_model(rows: DataFrame, least_share: float = LEAST_SHARE) -> dict | None:
-    """Languages with log P(trigram | language), and mean and spread of that in the language's own texts.
+    """Languages with log P(trigram | language), and the least of that a letter, and its spread, in texts of the language.
 
     ``1 / least_share`` bounds the languages. None if no row declares any.
     """
@@ -113,7 +114,7 @@ def text_model(rows: DataFrame, least_share: float = LEAST_SHARE) -> dict | None
         return None
     n = np.stack([np.frombuffer(x, "<f4") for x in got["n"].to_pylist()])
     logp = np.empty((1 << BITS, len(n) + 1), np.float32)
-    mean, spread = np.empty(len(n)), np.empty(len(n))
+    mean, spread, floor = (np.empty(len(n)) for _ in range(3))
     base = np.zeros(1 << BITS)
     for i, own in enumerate(n):
         own = own.astype(np.float64)
@@ -121,12 +122,12 @@ def text_model(rows: DataFrame, least_share: float = LEAST_SHARE) -> dict | None
         share = own / own.sum()
         logp[:, i] = log
         base += log / len(n)
-        mean[i] = share @ log
+        mean[i], floor[i] = share @ log, np.log(0.5 / (own.sum() + 0.5 * len(own)))
         spread[i] = np.sqrt(max(share @ log**2 - mean[i] ** 2, 0.0))
     # single precision holds what tells languages apart; what they share goes to the last column
     logp[:, :-1] -= base[:, None].astype(np.float32)
     logp[:, -1] = base
-    return {"langs": got["lang"].to_pylist(), "logp": logp, "mean": mean, "spread": spread}
+    return {"langs": got["lang"].to_pylist(), "logp": logp, "lowest": mean - FAR * (mean - floor), "spread": spread}
 
 
 def _structs(fields: list[tuple[str, pa.Array]], ends: np.ndarray) -> pa.Array:
@@ -151,7 +152,7 @@ def _scores(model, at: int, temper: float):
                 counts = np.bincount(row << BITS | code, minlength=r << BITS).reshape(r, -1).astype(np.float32)
                 score = (counts @ m["logp"]).astype(np.float64)
                 each = (score[:, :-1] + score[:, -1:]) / np.maximum(n, 1)[:, None]
-                near = each >= m["mean"] - FAR - 4 * m["spread"] / np.sqrt(np.maximum(n, 1))[:, None]
+                near = each >= m["lowest"] - 4 * m["spread"] / np.sqrt(np.maximum(n, 1))[:, None]
                 score = score[:, :-1] * temper
                 score -= score.max(axis=1, keepdims=True)
                 p = np.exp(score)
@@ -216,7 +217,7 @@ def identify(
     ``pull`` is the weight of the broader prior in documents, ``temper`` scales the text's
     log likelihood, as trigrams overlap. A row is accepted if its text has ``least_letters``
     letters, the posterior of its best language is ``least`` or more, and its letters are not
-    far less likely in that language than the language's own texts (``FAR`` nats a letter); else,
+    far less likely in that language than the language's own texts (``FAR``); else,
     and where no row declares a language, ``language`` is ``und``. Null texts have no letters; a
     null or malformed declaration, host or suffix is no evidence, nor is a tag that less than
     ``least_share`` of the declared letters bear: such rows are judged by the other evidence.
