@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import bpe, decontaminate, hnsw, langid, mixing, quality, simhash, substring, urls, warc
+from guardlake.llm import bpe, curriculum, decontaminate, hnsw, langid, mixing, negatives, quality, simhash, substring, urls, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw": hnsw.op1_hnsw,
@@ -19,9 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_curriculum": curriculum.op12_curriculum,
+    "op13_negatives": negatives.op13_negatives,
     "langid_pages": langid.langid_pages,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_urls": urls.oracle(),
     "op5_warc": warc.ORACLE,
+    "op12_curriculum": curriculum.oracle(),
+    "op13_negatives": negatives.ORACLE,
 }
