@@ -1,8 +1,9 @@
 """Built-in guards: rules whose tests are more than one pattern, as expressions over events.
 
-Events have ``event_name, tool_name, command, path, content, response`` and, by
-:func:`prepared`, ``paths`` (all files that the call names) and ``shell``. Every guard is a
-column that is null or (rule_id, decision, severity, target); all run in one pass.
+Events have ``event_name, tool_name, command, path, content, response``, may have ``patch`` and
+``cwd``, and get by :func:`prepared` ``paths`` (all files that the call names), ``targets`` (path,
+content and source of all that it would write) and ``shell``. Every guard is a column that is null
+or (rule_id, decision, severity, target); all run in one pass.
 """
 
 from __future__ import annotations
@@ -14,17 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardlake.functions.paths import matches_glob
-from guardlake.functions.shell import shell_facts
+from guardlake.functions.shell import CONTENTS, FACTS, patch_added, patch_paths, shell_facts
+from guardlake.storage import saved
 
 #: Events before a call, tools by kind, endings of harmless copies, phrases that wave findings away.
 BEFORE = ("PreToolUse", "PermissionRequest")
-SHELLS = ("bash", "shell", "terminal", "powershell")
+POWERSHELLS = ("powershell", "pwsh", "power_shell")
+SHELLS = ("bash", "sh", "zsh", *POWERSHELLS, "cmd", "cmd.exe", "command_prompt", "shell", "local_shell", "terminal")
+PATCHERS = ("patch", "applypatch", "apply_patch")
 READERS = ("read", "glob", "grep", "ls")
-WRITERS = ("write", "edit", "multiedit", "notebookedit", "apply_patch")
+WRITERS = ("write", "edit", "multiedit", "notebookedit", *PATCHERS)
 SAFE_ENDINGS = (".example", ".sample", ".template", ".defaults", ".dist", ".test", ".bak")
 PREEXISTING = ("pre-existing", "preexisting", "already existed", "was already", "existed before", "not introduced by", "outside the scope", "out of scope", "not my change")
 WEAKENING = ("bypass_permissions", "allowManagedHooksOnly", "disable.*guard", "disable.*rule", "skip.*validation")
 SETTINGS_SOURCES = ("project_settings", "local_settings", "user_settings")
+DISABLED = r"(?i)\benabled\s*=\s*false\b"
 LARGE = 50_000
 
 
@@ -39,6 +44,7 @@ class Guards:
     sentinels: tuple[str, ...] = (".gate-off",)
     infrastructure: tuple[str, ...] = ("hook_layer/", ".claude/hooks/")
     configuration: tuple[str, ...] = ("config/gate/config.json",)
+    root: str = "/workspace"  #: Folder of calls that name none.
     weakening_exempt: tuple[str, ...] = field(default=("hook_layer/", "hook-layer/", ".claude/hooks/", "test_", "fixture"))
 
 
@@ -46,12 +52,60 @@ def _one_of(column: Column, parts: tuple[str, ...]) -> Column:
     return F.coalesce(F.lower(column).isin(*parts), F.lit(False))
 
 
+def _kind(tool: Column) -> Column:
+    return F.translate(F.trim(tool), "-", "_")
+
+
+def with_shell(events: DataFrame) -> DataFrame:
+    """Events with ``shell``, null unless a shell is called: each distinct command is lexed once and joined back."""
+    tool = _kind(F.col("tool_name"))
+    line = F.when(_one_of(tool, SHELLS), F.col("command"))
+    asked = events.withColumn("_line", line).withColumn("_windows", _one_of(tool, POWERSHELLS))
+    lines = asked.where("_line is not null")
+    facts = saved(lines.select("_line", "_windows").distinct().withColumn("shell", shell_facts("_line", F.col("_windows"))))
+    named = lines.join(facts, ["_line", "_windows"]).select(*events.columns, "shell")
+    return named.unionByName(asked.where("_line is null").select(*events.columns, F.lit(None).cast(FACTS).alias("shell")))
+
+
 def prepared(events: DataFrame) -> DataFrame:
-    """Events with ``shell`` (null unless a shell is called) and ``paths``: its own path, then those that the command names."""
-    command = F.when(_one_of(F.col("tool_name"), SHELLS), F.col("command"))
-    out = events.withColumn("shell", F.when(command.isNotNull(), shell_facts(command)))
-    own = F.when(F.coalesce(F.col("path"), F.lit("")) != "", F.array("path")).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("paths", F.array_distinct(F.concat(own, F.coalesce("shell.targets", F.array().cast("array<string>")))))
+    """Events with ``shell``, ``patch``, ``named``, ``paths`` and ``targets``, written out.
+
+    The patch is that of the column, or what a patch tool gets as content or command. Paths are the call's own, then those of
+    its patch, then those that its command names (so far ``named``) or writes; targets are its content, the lines that its patch adds, by file, and what
+    its command writes.
+    """
+    column = lambda name: F.col(name) if name in events.columns else F.lit(None).cast("string")
+    given = F.when(_one_of(_kind(F.col("tool_name")), PATCHERS), F.coalesce("content", "command"))
+    patch = F.coalesce(column("patch"), given)
+    out = with_shell(events.withColumn("patch", F.when(F.trim(patch) != "", patch)).withColumn("cwd", column("cwd")))
+    none, nothing = F.array().cast("array<string>"), F.array().cast(CONTENTS)
+    own = F.when(F.coalesce(F.col("path"), F.lit("")) != "", F.array("path")).otherwise(none)
+    patched = F.coalesce(patch_paths(F.col("patch")), none)
+    written = F.coalesce("shell.contents", nothing)
+    extra = F.filter(F.transform(written, lambda t: t["path"]), lambda p: p.isNotNull())
+    out = out.withColumn("named", F.array_distinct(F.concat(own, patched, F.coalesce("shell.targets", none))))
+    out = out.withColumn("paths", F.array_distinct(F.concat("named", extra)))
+    target = lambda path, content, source: F.struct(path.alias("path"), content.alias("content"), F.lit(source).alias("source"))
+    plain = (F.size(own) > 0) & (F.coalesce(F.col("content"), F.lit("")) != "") & F.col("patch").isNull()
+    added = F.coalesce(F.nullif(patch_added(F.col("patch")), F.lit("")), F.col("patch"))
+    files = F.when(F.size(patched) > 0, patched).otherwise(F.array(F.lit("patch.diff")))
+    contents = F.concat(
+        F.when(F.coalesce(plain, F.lit(False)), F.array(target(F.col("path"), F.col("content"), "tool_input"))).otherwise(nothing),
+        F.when(F.col("patch").isNotNull(), F.transform(files, lambda p: target(p, added, "patch"))).otherwise(nothing),
+        written,
+    )
+    return saved(out.withColumn("targets", F.array_distinct(contents)))
+
+
+def resolved(path: Column, folder: Column) -> Column:
+    """A path from a folder, in lower case, without ``.``, ``..`` and doubled slashes; with a drive it stays as it is."""
+    slashed = F.lower(F.translate(F.trim(path), "\\", "/"))
+    parts = F.split(F.when(slashed.startswith("/"), slashed).otherwise(F.concat(F.lower(folder), F.lit("/"), slashed)), "/")
+    step = lambda done, part: (
+        F.when(part.isin("", "."), done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))
+    )
+    whole = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(slashed.rlike("^[a-z]:/"), slashed).otherwise(whole)
 
 
 def _finding(rule_id: str, decision: str | None, severity: Column | str, target: Column, when: Column) -> Column:
@@ -89,7 +143,9 @@ def sensitive_data(g: Guards) -> Column:
 
 def system_protection(g: Guards) -> Column:
     """A path of the system is named other than to run it; the null device is none."""
-    path = _first(F.col("paths"), lambda p: (F.lower(p) != "/dev/null") & _any([F.lower(p).startswith(x.lower()) for x in g.system]))
+    folder = F.coalesce("cwd", F.lit(g.root))
+    whole = F.transform("paths", lambda p: F.struct(p.alias("p"), resolved(p, folder).alias("at")))
+    path = F.get(F.filter(whole, lambda x: (x["at"] != "/dev/null") & _any([x["at"].startswith(s.lower()) for s in g.system])), 0)["p"]
     pattern = r"(?:^|[\s;|&(<>=])((?:" + "|".join(re.escape(x.lower()) for x in g.system) + r")[^\s;|&()<>'\"]*)"
     named = F.regexp_extract_all(F.lower("command"), F.lit(pattern), F.lit(1))
     run = F.transform(F.col("shell.executables"), F.lower)
@@ -110,7 +166,8 @@ def git_bypass() -> Column:
 
 
 def _changing() -> Column:
-    return _one_of(F.col("tool_name"), WRITERS) | F.coalesce(F.col("shell.mutating"), F.lit(False))
+    writes = F.coalesce(F.size("shell.contents") > 0, F.lit(False))
+    return _one_of(_kind(F.col("tool_name")), WRITERS) | F.coalesce(F.col("shell.mutating"), F.lit(False)) | writes
 
 
 def _reading() -> Column:
@@ -129,7 +186,9 @@ def protected_paths(g: Guards) -> Column:
 
 
 def large_content() -> Column:
-    return _finding("WARN-LARGE-001", None, "MEDIUM", F.col("path"), F.length("content") > LARGE)
+    """The first content of more than 50,000 characters."""
+    large = F.get(F.filter("targets", lambda t: F.length(t["content"]) > LARGE), 0)
+    return _finding("WARN-LARGE-001", None, "MEDIUM", large["path"], large.isNotNull())
 
 
 def _below(path: Column, fragment: str) -> Column:
@@ -145,19 +204,27 @@ def infrastructure(g: Guards) -> Column:
 
 def weakened_rules(g: Guards) -> Column:
     """Content that switches guards off, outside documents, fixtures and the hook layer."""
-    low = F.lower(F.regexp_replace("path", r"\\", "/"))
-    shown = (low.startswith("docs/") & low.endswith(".md")) | (low.startswith("docs/examples/") & low.endswith(".json"))
-    exempt = shown | _any([low.contains(x) for x in g.weakening_exempt])
-    hit = _any([F.col("content").rlike(f"(?i){p}") for p in WEAKENING])
-    return _finding("BUILTIN-RULEBOOK-SECURITY", "deny", "HIGH", F.col("path"), ~F.coalesce(exempt, F.lit(False)) & hit)
+
+    def weakens(t: Column) -> Column:
+        low = F.lower(F.translate(t["path"], "\\", "/"))
+        shown = (low.startswith("docs/") & low.endswith(".md")) | (low.startswith("docs/examples/") & low.endswith(".json"))
+        exempt = shown | _any([low.contains(x) for x in g.weakening_exempt])
+        return ~F.coalesce(exempt, F.lit(False)) & _any([t["content"].rlike(f"(?i){p}") for p in WEAKENING])
+
+    hit = F.get(F.filter("targets", weakens), 0)
+    return _finding("BUILTIN-RULEBOOK-SECURITY", "deny", "HIGH", hit["path"], hit.isNotNull())
 
 
 def enrolment(g: Guards) -> Column:
     """A change that would take the repository out of care: a sentinel, or the marker file by tool, shell or content."""
     name = lambda p: F.lower(F.element_at(F.split(p, "/"), -1))
-    path = _first(F.col("paths"), lambda p: name(p).isin(g.marker, *g.sentinels))
+    ours = lambda p: name(p).isin(g.marker, *g.sentinels)
+    written = F.get(F.filter("targets", lambda t: ours(t["path"])), 0)
+    path = F.coalesce(_first(F.col("named"), ours), written["path"])
+    # a marker that only a content shows is critical if that switches it off
+    off = ~F.exists("named", ours) & written["content"].rlike(DISABLED)
     deletes = _one_of(F.col("tool_name"), ("delete", "remove"))
-    grade = F.when(name(path).isin(*g.sentinels) | deletes, "CRITICAL").otherwise("HIGH")
+    grade = F.when(name(path).isin(*g.sentinels) | deletes | F.coalesce(off, F.lit(False)), "CRITICAL").otherwise("HIGH")
     acts = ~F.coalesce(F.col("shell.safe_read"), F.lit(False)) & (_changing() | deletes)
     return _finding("REPO-ENROLL-001", "deny", grade, path, path.isNotNull() & acts)
 

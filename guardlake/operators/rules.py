@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guardlake.functions.paths import matches_glob
+from guardlake.operators.guards import SHELLS, with_shell
 
 
 @dataclass(frozen=True)
@@ -81,19 +82,45 @@ def enforcement_mode(inside: Column, enrolled: Column, strict: Column) -> Column
     return F.when(~F.coalesce(inside, F.lit(False)), "outside").when(F.coalesce(enrolled & strict, F.lit(False)), "strict").otherwise("relaxed")
 
 
-#: Tools by intent.
-INTENTS = {"read": ("Read", "Glob", "Grep", "LS"), "write": ("Write",), "edit": ("Edit", "MultiEdit", "NotebookEdit"), "execute": ("Bash",), "delegate": ("Task",), "fetch": ("WebFetch", "WebSearch")}
+#: Tools by intent, parts of names of tools that edit, events and platform events that tell it by themselves.
+INTENTS = {"read": ("read", "read_file", "before_read_file"), "search": ("grep", "ripgrep", "rg"), "list": ("glob", "ls", "list"), "inspect": ("lookat", "look_at", "webfetch", "websearch")}
+EDITS, EDIT_PARTS = ("edit", "write", "multiedit", "notebookedit", "patch", "applypatch", "apply_patch", "replace"), ("edit_file", "editfile", "serena", "morph", "str_replace", "strreplace")
+LIFECYCLE = (
+    "AfterAgentResponse", "AfterAgentThought", "CommandExecuted", "PermissionReplied", "PostCompact", "PreCompact", "SessionEnd", "SessionError",
+    "SessionStart", "SessionStatus", "ShellEnv", "Stop", "SubagentStart", "SubagentStop", "UserPromptSubmit", "WorkspaceOpen",
+)
+MUTATING_EVENTS = ("file.edited",)
 
 
-def tool_intent(tool: Column, command: Column | None = None) -> Column:
-    """Intent of a tool by name; a shell command that redirects, moves or removes is a mutation."""
-    out = F.lit("other")
+def tool_intent(event: Column, tool: Column, shell: Column) -> Column:
+    """What a call is for: lifecycle, mutate, read, search, list, inspect, execute or unknown.
+
+    ``shell`` has the facts of a shell's command and is null for any other tool; a shell without a command executes.
+    """
+    name = F.translate(F.lower(F.trim(F.coalesce(tool, F.lit("")))), "-", "_")
+    edits = name.isin(*EDITS, "delete", "remove") | name.endswith("_edit")
+    for part in EDIT_PARTS:
+        edits = edits | name.contains(part)
+    out = F.when(F.coalesce(event.isin(*MUTATING_EVENTS), F.lit(False)), "mutate").when(F.coalesce(event.isin(*LIFECYCLE), F.lit(False)), "lifecycle")
+    out = out.when(name.isin(*SHELLS), F.coalesce(shell["intent"], F.lit("execute"))).when(edits, "mutate")
     for intent, names in INTENTS.items():
-        out = F.when(tool.isin(*names), intent).otherwise(out)
-    if command is not None:
-        changes = command.rlike(r"(^|[;&|]\s*)(rm|mv|cp|tee|dd|truncate|sed\s+-i|git\s+(reset|checkout|clean))\b|>")
-        out = F.when((out == "execute") & F.coalesce(changes, F.lit(False)), "mutate").otherwise(out)
-    return out
+        out = out.when(name.isin(*names), intent)
+    return out.otherwise("unknown")
+
+
+def intents(events: DataFrame) -> DataFrame:
+    """Events with ``shell``, ``intent``, ``intent_reason`` and ``path_source`` (where the files it names come from)."""
+    out = with_shell(events).withColumn("intent", tool_intent(F.col("event_name"), F.col("tool_name"), F.col("shell")))
+    named = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("unset"))
+    tool, event = named(F.col("tool_name")), named(F.col("event_name"))
+    reason = (
+        F.when(F.col("intent") == "lifecycle", F.concat(F.lit("lifecycle_event:"), event)).when(F.col("intent") == "mutate", F.concat(F.lit("mutation_evidence:"), tool))
+        .when(F.col("intent").isin("read", "search", "list", "inspect"), F.concat(F.lit("read_only_tool:"), tool))
+        .when(F.col("intent") == "execute", F.concat(F.lit("shell_execute:"), tool)).otherwise("unknown_tool_intent")
+    )
+    given = F.coalesce(F.col("path"), F.col("content")).isNotNull()
+    source = F.when(F.trim("command") != "", F.coalesce("shell.path_source", F.lit("tool_input"))).when(given, "tool_input").otherwise("payload")
+    return out.withColumn("intent_reason", reason).withColumn("path_source", source)
 
 
 def category(rule_id: Column, prefixes: list[tuple[str, str]], other: str = "other") -> Column:

@@ -79,8 +79,14 @@ QUERIES = {
         f"with {HE} select case when k % 5 = 0 then 'outside' when k % 3 = 0 and k % 2 = 0 then 'strict' else 'relaxed' end as mode, count(*) as n from he group by 1",
     ),
     "tool_intents": (
-        lambda s, d: M.counts_by(X.hook_events(s, d).select(R.tool_intent(F.col("tool_name"), F.when(F.col("k") % 2 == 0, "ls -l").otherwise("git status; rm x")).alias("intent")), "intent"),
-        f"with {HE} select case when tool_name in ('Read','Glob','Grep') then 'read' when tool_name = 'Write' then 'write' when tool_name = 'Edit' then 'edit' when tool_name = 'Bash' then case when k % 2 = 0 then 'execute' else 'mutate' end when tool_name = 'Task' then 'delegate' else 'other' end as intent, count(*) as n from he group by 1",
+        lambda s, d: M.counts_by(
+            R.intents(X.hook_events(s, d).withColumn("command", F.when(F.col("k") % 3 == 0, "ls -l").when(F.col("k") % 3 == 1, "git status; rm x").otherwise("make"))
+                      .withColumn("content", F.lit(None).cast("string"))), "intent", "intent_reason"),
+        f"""with {HE}, i as (select *, case when event_name in ('SessionStart', 'SessionEnd', 'Stop', 'SubagentStop', 'UserPromptSubmit', 'PreCompact') then 'lifecycle'
+when tool_name = 'Bash' then case k % 3 when 0 then 'list' when 1 then 'mutate' else 'execute' end when tool_name in ('Write', 'Edit') then 'mutate'
+when tool_name = 'Read' then 'read' when tool_name = 'Grep' then 'search' when tool_name = 'Glob' then 'list' else 'unknown' end as intent from he)
+select intent, case intent when 'lifecycle' then 'lifecycle_event:' || event_name when 'mutate' then 'mutation_evidence:' || tool_name when 'execute' then 'shell_execute:' || tool_name
+when 'unknown' then 'unknown_tool_intent' else 'read_only_tool:' || tool_name end as intent_reason, count(*) as n from i group by 1, 2""",
     ),
     "rule_categories": (
         lambda s, d: M.counts_by(X.rule_findings(s, d).select(R.category(F.col("rule_id"), [("R-1", "one"), ("R-", "any")]).alias("category")), "category"),

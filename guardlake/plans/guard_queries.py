@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from guardlake.functions import paths as P
 from guardlake.functions import shell
 from guardlake.operators import guards
+from guardlake.operators import rules as R
 from guardlake.plans import proxies as X
 from guardlake.plans.proxies import HE
 
@@ -40,6 +41,20 @@ CALLS = (
     ("PreToolUse", "Bash", "python3 -c \"open('out.txt','w')\"", None, None, None),
     ("PreToolUse", "Bash", "FOO=1 command cp a.txt /boot/vmlinuz && ls", None, None, None),
     ("PostToolUse", "Bash", "git push --no-verify", None, None, None),
+    ("PreToolUse", "apply_patch", None, None, "*** Begin Patch\n*** Update File: app/.env\n+TOKEN=1\n*** End Patch", None),
+    ("PreToolUse", "apply_patch", None, None, "*** Update File: gate.toml\n-enabled = true\n+enabled = false", None),
+    ("PreToolUse", "Bash", "cat ../../etc/hosts", None, None, None),
+    ("PreToolUse", "Bash", "cat > src/b.py <<'PY'\nskip all validation\nPY", None, None, None),
+    ("PreToolUse", "Bash", "bash -c \"printf x; echo 'enabled = false' >>'gate.toml'\"", None, None, None),
+    ("PreToolUse", "Bash", "python3 - <<'E'\nfrom pathlib import Path\nPath('hook_layer/a.py').write_text('pass')\nE", None, None, None),
+    ("PreToolUse", "PowerShell", "Set-Content -Path C:\\app\\id_rsa -Value 1", None, None, None),
+    ("PreToolUse", "Bash", "rtk grep -n x app/limits.toml", None, None, None),
+    ("Stop", "Bash", "rm x", None, None, None),
+    ("PreToolUse", "Bash", "apply_patch <<'EOF'\n*** Add File: src/c.py\n+skip all validation\nEOF", None, None, None),
+    ("PreToolUse", "mcp_serena_edit", None, "a.py", "x", None),
+    ("PreToolUse", "WebSearch", None, None, None, None),
+    ("PreToolUse", "Grep", None, "a.py", None, None),
+    ("PreToolUse", "Bash", None, None, None, None),
 )
 #: What the guards find: call, rule, decision, severity, target.
 EXPECTED = (
@@ -60,6 +75,43 @@ EXPECTED = (
     (22, "STOP-001", "block", "HIGH", "was already"),
     (24, "CONFIG-001", "block", "CRITICAL", "user_settings"),
     (26, "GLOBAL-BUILTIN-SYSTEM-PROTECTION", "deny", "CRITICAL", "/boot/vmlinuz"),
+    (28, "GLOBAL-BUILTIN-SENSITIVE-DATA", "deny", "HIGH", "app/.env"),
+    (29, "REPO-ENROLL-001", "deny", "HIGH", "gate.toml"),
+    (30, "GLOBAL-BUILTIN-SYSTEM-PROTECTION", "deny", "CRITICAL", "../../etc/hosts"),
+    (31, "BUILTIN-RULEBOOK-SECURITY", "deny", "HIGH", "src/b.py"),
+    (32, "REPO-ENROLL-001", "deny", "HIGH", "gate.toml"),
+    (33, "GLOBAL-BUILTIN-HOOK-INFRA-EXEC", "deny", "CRITICAL", "hook_layer/a.py"),
+    (34, "GLOBAL-BUILTIN-SENSITIVE-DATA", "deny", "HIGH", "C:\\app\\id_rsa"),
+    (37, "BUILTIN-RULEBOOK-SECURITY", "deny", "HIGH", "src/c.py"),
+)
+#: By call: intent, its reason, where its files come from.
+INTENT = (
+    (0, "execute", "shell_execute:Bash", "command_text"),
+    (4, "read", "read_only_tool:Bash", "command_text"),
+    (6, "read", "read_only_tool:Read", "tool_input"),
+    (7, "mutate", "mutation_evidence:Bash", "command_args"),
+    (12, "mutate", "mutation_evidence:Edit", "tool_input"),
+    (22, "lifecycle", "lifecycle_event:Stop", "payload"),
+    (25, "mutate", "mutation_evidence:Bash", "script_write_target"),
+    (28, "mutate", "mutation_evidence:apply_patch", "tool_input"),
+    (31, "mutate", "mutation_evidence:Bash", "redirect_target"),
+    (35, "search", "read_only_tool:Bash", "command_args"),
+    (36, "lifecycle", "lifecycle_event:Stop", "command_text"),
+    (38, "mutate", "mutation_evidence:mcp_serena_edit", "tool_input"),
+    (39, "inspect", "read_only_tool:WebSearch", "payload"),
+    (40, "search", "read_only_tool:Grep", "tool_input"),
+    (41, "execute", "shell_execute:Bash", "payload"),
+)
+#: By call: what it would write.
+WRITTEN = (
+    (12, "/home/u/config/limits.toml", "limit = 3", "tool_input"),
+    (28, "app/.env", "TOKEN=1", "patch"),
+    (29, "gate.toml", "enabled = false", "patch"),
+    (31, "src/b.py", "skip all validation", "shell_heredoc"),
+    (32, "gate.toml", "enabled = false", "shell_echo"),
+    (33, "hook_layer/a.py", "pass", "shell_python_write"),
+    (37, "src/c.py", "skip all validation", "patch"),
+    (38, "a.py", "x", "tool_input"),
 )
 #: By call with a command: what it runs, what it names, whether it changes files, whether it only reads.
 SHELL = (
@@ -79,6 +131,14 @@ SHELL = (
     (25, "python3", "out.txt", True, False),
     (26, "cp ls", "a.txt /boot/vmlinuz", True, False),
     (27, "git", "", False, False),
+    (30, "cat", "../../etc/hosts", False, True),
+    (31, "cat skip PY", "src/b.py <'PY", True, False),
+    (32, "bash", "gate.toml", True, False),
+    (33, "python3 from Path(hook_layer/a.py).write_text(pass) E", "Path <'E hook_layer/a.py", True, False),
+    (34, "Set-Content", "C:\\app\\id_rsa C:appid_rsa", True, False),
+    (35, "rtk", "app/limits.toml", False, True),
+    (36, "rm", "", True, False),
+    (37, "apply_patch *** +skip EOF", "Add File: src/c.py <'EOF", False, False),
 )
 PATCHES = ("*** Update File: src/a.py\n+one\n-two\n*** Add File: b.py\n+++ b/c.py\n+three", "--- a/d.py\n+++ b/d.py\n+x\n y", "+++ b//dev/null\n+lost", "no patch")
 SECRETS = ("run --token=abc123 --x", "API_KEY:zzz password= open", "Authorization:Basic9 Bearer abcdefgh.ij", "bearer short", "cookie=a;b token : spaced", "my secretary = fine")
@@ -127,18 +187,30 @@ def _each(values, **columns):
 
 
 def _shell(s, d):
-    calls = _calls(s, d).where("command is not null").withColumn("f", shell.shell_facts("command"))
+    calls = guards.with_shell(_calls(s, d)).where("command is not null").withColumnRenamed("shell", "f")
     return calls.select("seq", F.array_join("f.executables", " ").alias("runs"), F.array_join("f.targets", " ").alias("names"), "f.mutating", "f.safe_read")
 
 
+def _picked(rows) -> list[int]:
+    return sorted({r[0] for r in rows})
+
+
 QUERIES = {
+    "call_intents": (
+        lambda s, d: R.intents(_calls(s, d)).where(F.col("call").isin(_picked(INTENT))).select("seq", "intent", "intent_reason", "path_source"),
+        f"with {HE} select seq, intent, intent_reason, path_source from he join {_values(INTENT)} x(call, intent, intent_reason, path_source) on k % {len(CALLS)} = call",
+    ),
+    "content_targets": (
+        lambda s, d: guards.prepared(_calls(s, d)).where(F.col("call").isin(_picked(WRITTEN))).select("seq", F.explode("targets").alias("t")).select("seq", "t.*"),
+        f"with {HE} select seq, x.path, x.content, x.source from he join {_values(WRITTEN)} x(call, path, content, source) on k % {len(CALLS)} = call",
+    ),
     "guard_findings": (
         lambda s, d: guards.guard_findings(_calls(s, d)),
         f"with {HE} select seq, rule_id, decision, severity, target from he join {_values(EXPECTED)} x(call, rule_id, decision, severity, target) on k % {len(CALLS)} = call",
     ),
     "stop_reminders": (
         lambda s, d: guards.stop_reminders(_calls(s, d)),
-        f"with {HE} select session_id, min(seq) as seq, 'STOP-002' as rule_id from he where k % {len(CALLS)} = 23 group by 1",
+        f"with {HE} select session_id, min(seq) as seq, 'STOP-002' as rule_id from he where k % {len(CALLS)} in (23, 36) group by 1",
     ),
     "shell_facts": (_shell, f"with {HE} select seq, runs, names, mutating, safe_read from he join {_values(SHELL)} x(call, runs, names, mutating, safe_read) on k % {len(CALLS)} = call"),
     "patch_facts": _each(
