@@ -3,12 +3,14 @@
 Events have ``event_name, tool_name, command, path, content, response``, may have ``patch`` and
 ``cwd``, and get by :func:`prepared` ``paths`` (all files that the call names), ``targets`` (path,
 content and source of all that it would write) and ``shell``. Every guard is a column that is null
-or (rule_id, decision, severity, target); all run in one pass.
+or (rule_id, decision, severity, target), in two steps: what it looks for, then the finding, so that
+nothing is looked for twice; all run in one pass.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,7 @@ from guardlake.functions.shell import CONTENTS, FACTS, patch_added, patch_paths,
 from guardlake.storage import saved
 
 #: Events before a call, tools by kind, endings of harmless copies, phrases that wave findings away.
-BEFORE = ("PreToolUse", "PermissionRequest")
+BEFORE, CLOSING, SETTINGS = ("PreToolUse", "PermissionRequest"), ("Stop", "SubagentStop"), ("ConfigChange",)
 POWERSHELLS = ("powershell", "pwsh", "power_shell")
 SHELLS = ("bash", "sh", "zsh", *POWERSHELLS, "cmd", "cmd.exe", "command_prompt", "shell", "local_shell", "terminal")
 PATCHERS = ("patch", "applypatch", "apply_patch")
@@ -108,9 +110,9 @@ def resolved(path: Column, folder: Column) -> Column:
     return F.when(slashed.rlike("^[a-z]:/"), slashed).otherwise(whole)
 
 
-def _finding(rule_id: str, decision: str | None, severity: Column | str, target: Column, when: Column) -> Column:
-    grade = F.lit(severity) if isinstance(severity, str) else severity
-    row = F.struct(F.lit(rule_id).alias("rule_id"), F.lit(decision).cast("string").alias("decision"), grade.alias("severity"), target.cast("string").alias("target"))
+def _finding(rule_id: str, decision: Column | str | None, severity: Column | str, target: Column, when: Column) -> Column:
+    plain = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
+    row = F.struct(F.lit(rule_id).alias("rule_id"), plain(decision).alias("decision"), plain(severity).alias("severity"), target.cast("string").alias("target"))
     return F.when(F.coalesce(when, F.lit(False)), row)
 
 
@@ -132,16 +134,20 @@ def _sensitive(g: Guards) -> tuple[list[str], str]:
     return plain, safe
 
 
-def sensitive_data(g: Guards) -> Column:
+#: What a guard looks for, and the finding made of it.
+Guard = tuple[Column, Callable[[Column], Column]]
+
+
+def sensitive_data(g: Guards) -> Guard:
     """A path, or the command, names a secret; copies for show are harmless."""
     plain, safe = _sensitive(g)
     path = _first(F.col("paths"), lambda p: ~F.lower(p).rlike("(?:" + "|".join(re.escape(s) for s in SAFE_ENDINGS) + ")$") & _any([F.lower(p).rlike(f"(?i){x}") for x in plain]))
     named = _any([F.lower("command").rlike(f"(?i)(?>{x})(?!{safe})") for x in plain])
     target = F.coalesce(path, F.when(F.col("shell").isNotNull() & named, "[command]"))
-    return _finding("GLOBAL-BUILTIN-SENSITIVE-DATA", "deny", "HIGH", target, target.isNotNull())
+    return target, lambda t: _finding("GLOBAL-BUILTIN-SENSITIVE-DATA", "deny", "HIGH", t, t.isNotNull())
 
 
-def system_protection(g: Guards) -> Column:
+def system_protection(g: Guards) -> Guard:
     """A path of the system is named other than to run it; the null device is none."""
     folder = F.coalesce("cwd", F.lit(g.root))
     whole = F.transform("paths", lambda p: F.struct(p.alias("p"), resolved(p, folder).alias("at")))
@@ -151,10 +157,10 @@ def system_protection(g: Guards) -> Column:
     run = F.transform(F.col("shell.executables"), F.lower)
     other = F.exists(named, lambda x: (x != "/dev/null") & ~F.array_contains(run, x))
     target = F.coalesce(path, F.when(F.col("shell").isNotNull() & other, "[command]"))
-    return _finding("GLOBAL-BUILTIN-SYSTEM-PROTECTION", "deny", "CRITICAL", target, target.isNotNull())
+    return target, lambda t: _finding("GLOBAL-BUILTIN-SYSTEM-PROTECTION", "deny", "CRITICAL", t, t.isNotNull())
 
 
-def git_bypass() -> Column:
+def git_bypass() -> Guard:
     """Commit and push hooks skipped by an option, its short form, or a hooks path that leads nowhere."""
     low, tokens = F.lower("command"), F.transform(F.col("shell.tokens"), F.lower)
     long = low.contains("--no-verify") & low.rlike("git (commit|push|merge)")
@@ -162,7 +168,7 @@ def git_bypass() -> Column:
     short = commit & F.exists(F.slice(tokens, 3, 1 << 20), lambda t: t.rlike("^-(?!-).*n"))
     nowhere = low.contains("core.hookspath") & (low.contains("/dev/null") | low.contains("nul"))
     kind = F.when(long, "--no-verify").when(short, "-n (shorthand for --no-verify)").when(nowhere, "core.hookspath disabled")
-    return _finding("GIT-001", "deny", "HIGH", kind, F.col("shell").isNotNull() & kind.isNotNull())
+    return F.when(F.col("shell").isNotNull(), kind), lambda t: _finding("GIT-001", "deny", "HIGH", t, t.isNotNull())
 
 
 def _changing() -> Column:
@@ -174,21 +180,24 @@ def _reading() -> Column:
     return _one_of(F.col("tool_name"), READERS) | F.coalesce(F.col("shell.safe_read"), F.lit(False))
 
 
-def protected_paths(g: Guards) -> Column:
+def protected_paths(g: Guards) -> Guard:
     """A change to a protected path; Makefiles ask, and running their targets is free."""
     path = _first(F.col("paths"), lambda p: _any([matches_glob(p, x) for x in g.protected]))
-    makefile = F.element_at(F.split(path, "/"), -1) == "Makefile"
-    makes = F.element_at(F.split(F.get("shell.tokens", 0), "/"), -1) == "make"
-    sed = F.element_at(F.split(F.get("shell.tokens", 0), "/"), -1) == "sed"
-    acts = (_changing() | F.coalesce(sed, F.lit(False))) & ~_reading() & ~F.coalesce(makefile & makes, F.lit(False))
-    found = _finding("BUILTIN-PROTECTED-PATHS", "deny", "HIGH", path, path.isNotNull() & acts)
-    return F.when(F.coalesce(makefile, F.lit(False)), _finding("BUILTIN-PROTECTED-PATHS", "ask", "HIGH", path, path.isNotNull() & acts)).otherwise(found)
+    makes, sed = (F.element_at(F.split(F.get("shell.tokens", 0), "/"), -1) == x for x in ("make", "sed"))
+    acts = (_changing() | F.coalesce(sed, F.lit(False))) & ~_reading()
+
+    def found(path: Column) -> Column:
+        makefile = F.coalesce(F.element_at(F.split(path, "/"), -1) == "Makefile", F.lit(False))
+        runs = F.coalesce(makefile & makes, F.lit(False))
+        return _finding("BUILTIN-PROTECTED-PATHS", F.when(makefile, "ask").otherwise("deny"), "HIGH", path, path.isNotNull() & ~runs)
 
+    return F.when(acts, path), found
 
-def large_content() -> Column:
+
+def large_content() -> Guard:
     """The first content of more than 50,000 characters."""
     large = F.get(F.filter("targets", lambda t: F.length(t["content"]) > LARGE), 0)
-    return _finding("WARN-LARGE-001", None, "MEDIUM", large["path"], large.isNotNull())
+    return large["path"], lambda t: _finding("WARN-LARGE-001", None, "MEDIUM", t, t.isNotNull())
 
 
 def _below(path: Column, fragment: str) -> Column:
@@ -196,26 +205,27 @@ def _below(path: Column, fragment: str) -> Column:
     return (F.lower(path) == bare) | F.lower(path).endswith("/" + bare) | F.lower(path).contains(bare + "/")
 
 
-def infrastructure(g: Guards) -> Column:
+def infrastructure(g: Guards) -> Guard:
     """A change to the hook layer or its configuration, unless it only reads."""
     path = _first(F.col("paths"), lambda p: _any([_below(p, x) for x in (*g.configuration, *g.infrastructure)]))
-    return _finding("GLOBAL-BUILTIN-HOOK-INFRA-EXEC", "deny", "CRITICAL", path, path.isNotNull() & ~_reading())
+    return F.when(~_reading(), path), lambda t: _finding("GLOBAL-BUILTIN-HOOK-INFRA-EXEC", "deny", "CRITICAL", t, t.isNotNull())
 
 
-def weakened_rules(g: Guards) -> Column:
+def weakened_rules(g: Guards) -> Guard:
     """Content that switches guards off, outside documents, fixtures and the hook layer."""
 
     def weakens(t: Column) -> Column:
         low = F.lower(F.translate(t["path"], "\\", "/"))
         shown = (low.startswith("docs/") & low.endswith(".md")) | (low.startswith("docs/examples/") & low.endswith(".json"))
         exempt = shown | _any([low.contains(x) for x in g.weakening_exempt])
-        return ~F.coalesce(exempt, F.lit(False)) & _any([t["content"].rlike(f"(?i){p}") for p in WEAKENING])
+        return ~F.coalesce(exempt, F.lit(False)) & _any([t["low"].contains(p.split(".*")[0].lower()) & t["low"].rlike(p.lower()) for p in WEAKENING])
 
-    hit = F.get(F.filter("targets", weakens), 0)
-    return _finding("BUILTIN-RULEBOOK-SECURITY", "deny", "HIGH", hit["path"], hit.isNotNull())
+    lowered = F.transform("targets", lambda t: F.struct(t["path"].alias("path"), F.lower(t["content"]).alias("low")))
+    hit = F.get(F.filter(lowered, weakens), 0)
+    return hit["path"], lambda t: _finding("BUILTIN-RULEBOOK-SECURITY", "deny", "HIGH", t, t.isNotNull())
 
 
-def enrolment(g: Guards) -> Column:
+def enrolment(g: Guards) -> Guard:
     """A change that would take the repository out of care: a sentinel, or the marker file by tool, shell or content."""
     name = lambda p: F.lower(F.element_at(F.split(p, "/"), -1))
     ours = lambda p: name(p).isin(g.marker, *g.sentinels)
@@ -224,33 +234,40 @@ def enrolment(g: Guards) -> Column:
     # a marker that only a content shows is critical if that switches it off
     off = ~F.exists("named", ours) & written["content"].rlike(DISABLED)
     deletes = _one_of(F.col("tool_name"), ("delete", "remove"))
-    grade = F.when(name(path).isin(*g.sentinels) | deletes | F.coalesce(off, F.lit(False)), "CRITICAL").otherwise("HIGH")
     acts = ~F.coalesce(F.col("shell.safe_read"), F.lit(False)) & (_changing() | deletes)
-    return _finding("REPO-ENROLL-001", "deny", grade, path, path.isNotNull() & acts)
+
+    def found(hit: Column) -> Column:
+        path = hit["path"]
+        grade = F.when(name(path).isin(*g.sentinels) | deletes | F.coalesce(hit["off"], F.lit(False)), "CRITICAL").otherwise("HIGH")
+        return _finding("REPO-ENROLL-001", "deny", grade, path, path.isNotNull())
+
+    return F.when(acts, F.struct(path.alias("path"), off.alias("off"))), found
 
 
-def waved_away() -> Column:
+def waved_away() -> Guard:
     """A closing answer that calls findings old or out of scope: the first such phrase."""
     low = F.lower("response")
     phrase = F.coalesce(*(F.when(low.contains(p), p) for p in PREEXISTING))
-    return _finding("STOP-001", "block", "HIGH", phrase, phrase.isNotNull())
+    return phrase, lambda t: _finding("STOP-001", "block", "HIGH", t, t.isNotNull())
 
 
-def settings_change() -> Column:
+def settings_change() -> Guard:
     """Settings that switch hooks off or rewrite them; ``content`` is the change as JSON, ``path`` its source."""
-    off = F.get_json_object("content", "$.disableAllHooks") == "true"
+    off = F.coalesce(F.get_json_object("content", "$.disableAllHooks") == "true", F.lit(False))
     hooks = F.get_json_object("content", "$.hooks").isNotNull()
+    grade = F.when(off, "CRITICAL").when(hooks, "HIGH")
     source = F.col("path").isin(*SETTINGS_SOURCES)
-    grade = F.when(F.coalesce(off, F.lit(False)), "CRITICAL").otherwise("HIGH")
-    return _finding("CONFIG-001", "block", grade, F.col("path"), source & (F.coalesce(off, F.lit(False)) | hooks))
+    return F.when(source, grade), lambda t: _finding("CONFIG-001", "block", t, F.col("path"), t.isNotNull())
 
 
 def guard_findings(events: DataFrame, g: Guards = Guards(), id_cols: tuple[str, ...] = ("seq",)) -> DataFrame:
     """``(*id_cols, rule_id, decision, severity, target)``: what the guards find, in one pass. Nulls guard nothing."""
-    at = lambda c, *names: F.when(F.col("event_name").isin(*names), c)
     before = [sensitive_data(g), system_protection(g), git_bypass(), protected_paths(g), large_content(), infrastructure(g), weakened_rules(g), enrolment(g)]
-    found = F.array(*(at(c, *BEFORE) for c in before), at(waved_away(), "Stop", "SubagentStop"), at(settings_change(), "ConfigChange"))
-    return prepared(events).select(*id_cols, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select(*id_cols, "f.*")
+    guards = [(*x, BEFORE) for x in before] + [(*waved_away(), CLOSING), (*settings_change(), SETTINGS)]
+    ready = prepared(events.where(F.col("event_name").isin(*BEFORE, *CLOSING, *SETTINGS)))
+    sought = ready.select("*", *(F.when(F.col("event_name").isin(*names), what).alias(f"_{i}") for i, (what, _, names) in enumerate(guards)))
+    found = F.array(*(make(F.col(f"_{i}")) for i, (_, make, _) in enumerate(guards)))
+    return sought.select(*id_cols, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select(*id_cols, "f.*")
 
 
 def stop_reminders(events: DataFrame) -> DataFrame:
