@@ -26,7 +26,7 @@ SCHEDULES: list[Schedule] = [
 ]
 PASSES = 3
 #: Distinct documents of a source that one bucket of its stream holds, about, and copies of one that a task lists.
-BUCKET, COPIES = 65_536, 65_536
+BUCKET, COPIES = 4096, 65_536
 WORD = r"[^\x20\x09-\x0D]+"
 
 
