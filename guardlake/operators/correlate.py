@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardlake.storage import drop_saved, saved
+from guardlake.operators.claims import claim
+
+__all__ = ["claim", "micros", "nearest", "unmatched", "within"]
 
 
 def micros(c: Column | str) -> Column:
@@ -44,27 +46,3 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
     """Left rows without a right row within the tolerance."""
     hit = within(left.select(id_col, "ts", *keys), right.select(f"{id_col}", "ts", *keys), keys, tolerance).select(id_col).distinct()
     return left.join(hit, id_col, "left_anti")
-
-
-def claim(results: DataFrame, events: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
-    """Greedy one-to-one claim: results in order of ``seq`` each take the nearest event not yet taken,
-    the first on ties.
-
-    As every event goes to the smallest ``seq``, this is the one stable matching and is found by
-    rounds of proposals: each result proposes to its nearest candidate left, and an event drops all
-    candidates of a larger ``seq`` than its first proposer. It ends when no two results propose to
-    one event. Keys may be null and equal so. A round is two aggregations and a join.
-    """
-    side = lambda df: df.select(F.struct(*keys).alias("key"), "seq", "ts")
-    near = within(side(results), side(events), ["key"], max(tolerance, 1)).where(F.abs("dt") <= tolerance)
-    pairs = saved(near.select("seq", F.col("r_seq").alias("event_seq"), F.abs("dt").alias("distance")))
-    while True:
-        best = pairs.groupBy("seq").agg(F.min(F.struct("distance", "event_seq")).alias("m"))
-        best = saved(best.select("seq", "m.event_seq", "m.distance"))
-        held = saved(best.groupBy("event_seq").agg(F.min("seq").alias("holder"), F.count("*").alias("n")))
-        if not held.where("n > 1").take(1):
-            break
-        left = saved(pairs.join(held, "event_seq", "left").where("holder is null or seq <= holder").select("seq", "event_seq", "distance"))
-        drop_saved(pairs, best, held)
-        pairs = left
-    return results.select("seq").join(best, "seq", "left")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardlake.storage import drop_saved, saved
+
 #: Collectors that must be asked for, and what each platform can enforce.
 OPT_IN = (
     "dead-code", "boundary-logging", "feature-envy", "flat-sibling-files", "import-alias", "import-fanout", "langgraph-deprecated-api",
@@ -56,17 +58,35 @@ def layered(layers: list[DataFrame]) -> DataFrame:
 def alive(rows: DataFrame, ts: str = "ts", ttl: int = TTL, *key: str) -> DataFrame:
     """The first row of each key, and each later one that comes when what the last kept row left has expired.
 
-    A row renews nothing while its key is alive; gaps of ``ttl`` seconds or more start anew at once,
-    and within a gapless run one row is kept per ``ttl`` from the run's start.
+    A state is alive up to ``ttl`` seconds after it was set, whole seconds; a row renews nothing while its key is alive.
+    Rows without a time stay out. Of one second of a key only the first row can stay. Kept rows are further apart than ``ttl``,
+    so each time bucket holds one at most, and the first row after a row's expiry lies in the next bucket or in the first one
+    after that. The chain from a key's first row along these pointers is followed by doubling them: a round of joins for each
+    bit of its length. No task holds more of a key than two buckets' seconds, or a row for each of its buckets.
     """
-    w = Window.partitionBy(*key).orderBy(ts, "seq")
-    at = F.unix_timestamp(F.col(ts))
-    starts = F.when(at - F.lag(at).over(w) < ttl, 0).otherwise(1)
-    runs = rows.withColumn("_at", at).withColumn("_run", F.sum(starts).over(w))
-    r = Window.partitionBy(*key, "_run")
-    slot = F.floor((F.col("_at") - F.min("_at").over(r)) / ttl)
-    first = F.row_number().over(Window.partitionBy(*key, "_run", "_slot").orderBy(ts, "seq"))
-    return runs.withColumn("_slot", slot).withColumn("_first", first).where("_first = 1").drop("_at", "_run", "_slot", "_first")
+    width, whole = ttl + 1, F.struct(*rows.columns)
+    named = rows.where(F.col(ts).isNotNull()).withColumn("_key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}) if key else F.lit(""))
+    firsts = named.groupBy("_key", F.unix_timestamp(F.col(ts)).alias("_at")).agg(F.min_by(whole, F.struct(ts, "seq")).alias("_row"))
+    firsts = saved(firsts)
+    times = firsts.select("_key", "_at", F.floor(F.col("_at") / width).alias("_bucket"))
+    asks = times.select("_key", F.col("_bucket") + 1, F.col("_at") + width, F.col("_at").alias("_from"))
+    both = times.select("_key", "_bucket", F.col("_at").alias("_time"), F.lit(None).cast("long").alias("_from")).union(asks)
+    at_or_after = Window.partitionBy("_key", "_bucket").orderBy(F.desc("_time"), F.asc_nulls_first("_from")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.last(F.when(F.col("_from").isNull(), F.col("_time")), ignorenulls=True).over(at_or_after)
+    inside = both.withColumn("_to", reached).where("_from is not null and _to is not null").select("_key", F.col("_from").alias("_at"), "_to")
+    by_time = Window.partitionBy("_key").orderBy("_bucket")
+    buckets = times.groupBy("_key", "_bucket").agg(F.min("_at").alias("_first"))
+    beyond = F.when(F.lead("_bucket").over(by_time) > F.col("_bucket") + 1, F.lead("_first").over(by_time)).otherwise(F.lead("_first", 2).over(by_time))
+    buckets = buckets.select("_key", "_bucket", beyond.alias("_beyond"))
+    jumps = times.join(inside, ["_key", "_at"], "left").join(buckets, ["_key", "_bucket"]).select("_key", "_at", F.coalesce("_to", "_beyond").alias("_to"))
+    jumps = saved(jumps.where("_to is not null"))
+    kept = saved(times.groupBy("_key").agg(F.min("_at").alias("_at")))
+    while jumps.take(1):
+        further = saved(kept.union(kept.join(jumps, ["_key", "_at"]).select("_key", "_to")))
+        twice = saved(jumps.join(jumps.select("_key", F.col("_at").alias("_to"), F.col("_to").alias("_then")), ["_key", "_to"]).select("_key", "_at", F.col("_then").alias("_to")))
+        drop_saved(kept, jumps)
+        kept, jumps = further, twice
+    return firsts.join(kept, ["_key", "_at"]).select("_row.*")
 
 
 def locks_held(locks: DataFrame, attempts: DataFrame, plans: DataFrame, ttl: int = TTL) -> DataFrame:
@@ -77,7 +97,7 @@ def locks_held(locks: DataFrame, attempts: DataFrame, plans: DataFrame, ttl: int
     )
     w = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("kind") != "attempt", F.struct("kind", "ts")), ignorenulls=True).over(w)
-    held = (F.col("l.kind") == "lock") & (F.unix_timestamp("ts") - F.unix_timestamp("l.ts") < ttl)
+    held = (F.col("l.kind") == "lock") & (F.unix_timestamp("ts") - F.unix_timestamp("l.ts") <= ttl)
     return marks.withColumn("l", last).where("kind = 'attempt'").select("session_id", "seq", F.coalesce(held, F.lit(False)).alias("locked"))
 
 
@@ -103,9 +123,11 @@ def fingerprint(tool: Column, paths: Column, targets: Column, tool_input: Column
 
 
 def pruned(counters: DataFrame, protected: DataFrame, most: int = 512) -> DataFrame:
-    """The ``most`` largest counters ``(key, n)``, ties to the larger key, and every protected key."""
-    top = counters.orderBy(F.desc("n"), F.desc("key")).limit(most)
-    return top.union(counters.join(protected.select("key").distinct(), "key", "left_semi").select(*counters.columns)).distinct()
+    """``most`` counters ``(key, n)``: the protected keys among them take their places first, all of them even if they are more,
+    then the largest others, ties to the larger key."""
+    kept = counters.join(protected.select("key").distinct(), "key", "left_semi").select(*counters.columns)
+    others = counters.join(protected.select("key").distinct(), "key", "left_anti").select(*counters.columns)
+    return kept.union(others.orderBy(F.desc("n"), F.desc("key")).limit(max(most - kept.count(), 0)))
 
 
 def stale_entries(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -117,10 +139,20 @@ def stale_entries(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def ingested(records: DataFrame, valid: Column, *key: str) -> DataFrame:
-    """Counts of records by source: accepted, ignored as repeats of a key, rejected as invalid."""
-    w = Window.partitionBy(*key).orderBy("seq")
-    kind = F.when(~F.coalesce(valid, F.lit(False)), "rejected").when(F.row_number().over(w) > 1, "ignored").otherwise("accepted")
-    return records.withColumn("_valid", F.coalesce(valid, F.lit(False))).withColumn("_kind", kind).groupBy("source", F.col("_kind").alias("kind")).agg(F.count("*").alias("n"))
+    """Counts of records by source: accepted, ignored as repeats of a valid record's key, rejected as invalid.
+
+    The first valid record of a key is accepted, whatever was rejected before it. Firsts are found by a minimum, so a frequent
+    key is counted before it is shuffled. ``seq`` is unique; keys may be null and equal so.
+    """
+    checked = records.select("source", "seq", F.struct(*key).alias("_key"), F.coalesce(valid, F.lit(False)).alias("_valid"))
+    firsts = checked.where("_valid").groupBy("_key").agg(F.min_by("source", "seq").alias("source"))
+    accepted = firsts.groupBy("source").agg(F.count("*").alias("accepted"))
+    seen = checked.groupBy("source").agg(F.count(F.when(F.col("_valid"), 1)).alias("valid"), F.count("*").alias("all"))
+    both = seen.join(accepted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
+    n = F.coalesce("accepted", F.lit(0))
+    kinds = {"accepted": n, "ignored": F.col("valid") - n, "rejected": F.col("all") - F.col("valid")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("n")) for k, v in kinds.items()))).alias("k")
+    return both.select("source", each).select("source", "k.kind", "k.n").where("n > 0")
 
 
 def merged_live(snapshot: DataFrame, live: DataFrame, *key: str) -> DataFrame:

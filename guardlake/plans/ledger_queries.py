@@ -71,14 +71,16 @@ select key, value, layer from l qualify row_number() over (partition by key orde
     ),
     "alive_reminders": (
         lambda s, d: L.alive(X.hook_events(s, d), "ts", 86_400, "session_id", "tool_name").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs")),
-        f"""with {HE}, a as (select *, epoch(date_trunc('second', ts))::bigint as tt from he), b as (select *, case when tt - lag(tt) over w < 86400 then 0 else 1 end as st from a window w as (partition by session_id, tool_name order by ts, seq)),
-c as (select *, sum(st) over (partition by session_id, tool_name order by ts, seq rows unbounded preceding) as run from b), e as (select *, (tt - min(tt) over (partition by session_id, tool_name, run)) // 86400 as slot from c),
-f as (select * from e qualify row_number() over (partition by session_id, tool_name, run, slot order by ts, seq) = 1) select session_id, count(*) as n, sum(seq)::bigint as seqs from f group by 1""",
+        f"""with recursive {HE}, a as materialized (select session_id, tool_name, seq, epoch(date_trunc('second', ts))::bigint as tt, ts from he),
+chain as (select session_id, tool_name, min(tt) as tt from a group by 1, 2
+union all select c.session_id, c.tool_name, min(a.tt) from chain c join a on a.session_id = c.session_id and a.tool_name = c.tool_name and a.tt > c.tt + 86400 group by 1, 2, c.tt),
+kept as (select session_id, arg_min(seq, (ts, seq)) as seq from a join chain using (session_id, tool_name, tt) group by session_id, tool_name, tt)
+select session_id, count(*) as n, sum(seq)::bigint as seqs from kept group by 1""",
     ),
     "locks_held": (
         lambda s, d: L.locks_held(_marks(s, d, "PermissionRequest"), _marks(s, d, "PreToolUse"), _marks(s, d, "SessionStart"), 86_400 * 3),
         f"""with {HE}, m as (select session_id, seq, ts, case event_name when 'PreToolUse' then 'attempt' when 'PermissionRequest' then 'lock' else 'plan' end as kind from he where event_name in ('PreToolUse', 'PermissionRequest', 'SessionStart'))
-select a.session_id, a.seq, coalesce((select l.kind = 'lock' and epoch(date_trunc('second', a.ts)) - epoch(date_trunc('second', l.ts)) < 259200 from m l where l.session_id = a.session_id and l.seq < a.seq and l.kind <> 'attempt' order by l.seq desc limit 1), false) as locked
+select a.session_id, a.seq, coalesce((select l.kind = 'lock' and epoch(date_trunc('second', a.ts)) - epoch(date_trunc('second', l.ts)) <= 259200 from m l where l.session_id = a.session_id and l.seq < a.seq and l.kind <> 'attempt' order by l.seq desc limit 1), false) as locked
 from m a where kind = 'attempt'""",
     ),
     "full_reads_needed": (
@@ -92,7 +94,15 @@ select seq, session_id, path from r a where not full_read and path not like '%.m
     ),
     "counters_pruned": (
         lambda s, d: (lambda c: L.pruned(c, c.where("n <= 2"), 12))(X.hook_events(s, d).groupBy(F.concat_ws("/", "session_id", "tool_name").alias("key")).agg(F.count("*").alias("n"))),
-        f"with {HE}, c as (select session_id || '/' || tool_name as key, count(*) as n from he group by 1) select key, n from (select * from c order by n desc, key desc limit 12) union select key, n from c where n <= 2",
+        f"""with {HE}, c as (select session_id || '/' || tool_name as key, count(*) as n from he group by 1),
+ranked as (select *, row_number() over (order by n desc, key desc) as place from c where not n <= 2)
+select key, n from c where n <= 2 union all select key, n from ranked where place <= greatest(12 - (select count(*) from c where n <= 2), 0)""",
+    ),
+    "counters_pruned_few": (
+        lambda s, d: (lambda c: L.pruned(c, s.createDataFrame([("s1/Bash",), ("s2/Edit",), ("none/Read",)], "key string"), 12))(X.hook_events(s, d).groupBy(F.concat_ws("/", "session_id", "tool_name").alias("key")).agg(F.count("*").alias("n"))),
+        f"""with {HE}, c as (select session_id || '/' || tool_name as key, count(*) as n from he group by 1), p as (select * from c where key in ('s1/Bash', 's2/Edit', 'none/Read')),
+ranked as (select *, row_number() over (order by n desc, key desc) as place from c where key not in (select key from p))
+select * from p union all select key, n from ranked where place <= 12 - (select count(*) from p)""",
     ),
     "baseline_stale": (
         lambda s, d: L.stale_entries(X.baseline(s, d), X.violations(s, d)),
@@ -100,7 +110,8 @@ select seq, session_id, path from r a where not full_read and path not like '%.m
     ),
     "ingest_counts": (
         lambda s, d: L.ingested(X.hook_events(s, d).withColumn("source", F.col("platform")), F.col("k") % 7 != 0, "session_id", "tool_name", "platform"),
-        f"""with {HE}, r as (select platform as source, case when k % 7 = 0 then 'rejected' when row_number() over (partition by session_id, tool_name, platform order by seq) > 1 then 'ignored' else 'accepted' end as kind from he)
+        f"""with {HE}, v as (select *, k % 7 <> 0 as good from he),
+r as (select platform as source, case when not good then 'rejected' when exists (select 1 from v b where b.good and b.seq < a.seq and b.session_id = a.session_id and b.tool_name = a.tool_name and b.platform = a.platform) then 'ignored' else 'accepted' end as kind from v a)
 select source, kind, count(*) as n from r group by 1, 2""",
     ),
     "live_merge": (

@@ -41,6 +41,18 @@ def _lineage(s, d):
     return S.roots(_parents(s, d))
 
 
+def _claim_sql(ts, tolerance):
+    """Results one by one, a step of the recursion each for every tool: the nearest event that is not in the list of those taken."""
+    return f"""with recursive {HE}, r as materialized (select tool_name as key, seq, epoch_us({ts}) as t, row_number() over (partition by tool_name order by seq) as n from he where event_name = 'PostToolUse'),
+e as materialized (select tool_name as key, seq, epoch_us({ts}) as t from he where event_name = 'PreToolUse'),
+near as materialized (select r.key, r.n, e.seq as event_seq, abs(e.t - r.t) as d from r join e on e.key = r.key and abs(e.t - r.t) <= {tolerance}),
+walk as (select key, 0::bigint as n, []::bigint[] as taken, null::bigint as event_seq, null::bigint as distance from r group by key
+union all select key, n + 1, case when x is null then taken else list_append(taken, x.event_seq) end, x.event_seq, x.d
+from (select w.key, w.n, any_value(w.taken) as taken, min(case when near.event_seq is not null and not list_contains(w.taken, near.event_seq) then {{'d': near.d, 'event_seq': near.event_seq}} end) as x
+  from walk w join r on r.key = w.key and r.n = w.n + 1 left join near on near.key = w.key and near.n = w.n + 1 group by w.key, w.n))
+select r.seq, walk.event_seq, walk.distance from r join walk using (key, n)"""
+
+
 def _events(s, d, name):
     return X.hook_events(s, d).where(F.col("event_name") == name)
 
@@ -102,7 +114,11 @@ select p.seq, p.ts, p.session_id, m.m[2] as near_seq, m.m[1] as distance from p
         lambda s, d: C.unmatched(X.rule_findings(s, d).select("seq", "ts", "tool_name", "rule_id"), X.hook_results(s, d).select("seq", "ts", "tool_name", F.explode("rule_ids").alias("rule_id")), ["tool_name", "rule_id"], 30 * MIN).select("seq", "tool_name", "rule_id"),
         f"with {HR}, x as (select seq, ts, tool_name, unnest(rule_ids) as rule_id from hr) select seq, tool_name, rule_id from rf where not exists (select 1 from x where x.tool_name = rf.tool_name and x.rule_id = rf.rule_id and abs(epoch_us(x.ts) - epoch_us(rf.ts)) <= {30 * MIN})",
     ),
-    "greedy_claim": (lambda s, d: C.claim(_events(s, d, "PostToolUse"), _events(s, d, "PreToolUse"), ["tool_name"], 5 * MIN), None),
+    "greedy_claim": (lambda s, d: C.claim(_events(s, d, "PostToolUse"), _events(s, d, "PreToolUse"), ["tool_name"], 5 * MIN), _claim_sql("ts", 5 * MIN)),
+    "burst_claim": (
+        lambda s, d: C.claim(*(_events(s, d, n).withColumn("ts", F.date_trunc("day", "ts")) for n in ("PostToolUse", "PreToolUse")), ["tool_name"], 48 * HOUR),
+        _claim_sql("date_trunc('day', ts)", 48 * HOUR),
+    ),
     "path_rollup": (
         lambda s, d: E.rollup(X.hook_events(s, d), X.rule_findings(s, d)),
         f"""with {RF}, pe as (select seq, list_filter(string_split(p, '/'), lambda x: x <> '') as parts from (select seq, unnest(candidate_paths) as p from he)),

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from guardlake.functions.decisions import ENFORCEMENT, is_in
 from guardlake.operators.state import KEY
@@ -91,6 +91,98 @@ def reminders(rows: DataFrame, topic: str, seconds: int = 3600) -> DataFrame:
     return keyed.transformWithStateInPandas(statefulProcessor=Reminder(seconds), outputStructType="session_id string, topic string, seq long", outputMode="Append", timeMode="ProcessingTime")
 
 
+class InOrder(StatefulProcessor):
+    """Holds rows back until the watermark has passed them and handles them in the order of time and ``seq``.
+
+    State is the rows that wait, by time and ``seq``, and one (time, seq, kind) that lives ``seconds`` of event time from when
+    it was set; a timer at a row's time takes it up, one after the lifetime clears what is left. Rows later than the watermark are
+    dropped by the engine before they come here.
+    """
+
+    def __init__(self, seconds: int) -> None:
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        place = StructType([StructField("at", LongType()), StructField("seq", LongType())])
+        kind = StructType([StructField("kind", StringType())])
+        self.handle, self.waiting = handle, handle.getMapState("waiting", place, kind)
+        self.set = handle.getValueState("set", StructType([*place.fields, *kind.fields]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            for at, seq, kind in zip(part["at"].tolist(), part["seq"].tolist(), part["kind"].tolist()):
+                self.waiting.updateValue((at, seq), (kind,))
+                self.handle.registerTimer(at // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted((tuple(place), kind[0]) for place, kind in self.waiting.iterator() if place[0] // 1000 <= now)
+        out = []
+        for (at, seq), kind in due:
+            last = self.set.get() if self.set.exists() else None
+            living = last is not None and at // 1_000_000 - last[0] // 1_000_000 <= self.seconds
+            kept = self.handled(at, seq, kind, last if living else None)
+            if kept is not None:
+                out.append((seq, kept))
+            self.waiting.removeKey((at, seq))
+        if self.set.exists() and (self.set.get()[0] // 1_000_000 + self.seconds + 1) * 1000 <= now:
+            self.set.clear()
+        if out:
+            yield self.frame(key, out)
+
+    def keep(self, at: int, seq: int, kind: str) -> None:
+        self.set.update((at, seq, kind))
+        self.handle.registerTimer((at // 1_000_000 + self.seconds + 1) * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+class Alive(InOrder):
+    """Lets the first row of each key pass, and the first one after what it left has expired."""
+
+    def handled(self, at: int, seq: int, kind: str, last: tuple | None) -> bool | None:
+        if last is not None:
+            return None
+        self.keep(at, seq, kind)
+        return True
+
+    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [key[0]] * len(rows), "topic": [key[1]] * len(rows), "seq": pd.Series([s for s, _ in rows], dtype="int64")})
+
+
+class Locks(InOrder):
+    """Tells for each attempt whether a lock set before it holds: not expired, and no repair plan since."""
+
+    def handled(self, at: int, seq: int, kind: str, last: tuple | None) -> bool | None:
+        if kind == "attempt":
+            return last is not None and last[2] == "lock"
+        self.keep(at, seq, kind)
+        return None
+
+    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        columns = {"seq": pd.Series([s for s, _ in rows], dtype="int64"), "locked": pd.Series([k for _, k in rows], dtype="bool")}
+        return pd.DataFrame({"session_id": [key[0]] * len(rows), **columns})
+
+
+def _ordered(rows: DataFrame, ts: str, late: str, *key) -> DataFrame:
+    marked = rows.withWatermark(ts, late)
+    return marked.select(*key, F.col(ts), F.unix_micros(F.col(ts)).alias("at"), "seq", F.col("kind") if "kind" in rows.columns else F.lit("row").alias("kind"))
+
+
+def alive(rows: DataFrame, topic: str, seconds: int = 3600, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """Once per session and topic, and again when that has expired, by event time: the streaming twin of ``ledger.alive``."""
+    keyed = _ordered(rows, ts, late, "session_id", F.col(topic).alias("topic")).groupBy("session_id", "topic")
+    return keyed.transformWithStateInPandas(statefulProcessor=Alive(seconds), outputStructType="session_id string, topic string, seq long", outputMode="Append", timeMode="EventTime")
+
+
+def locks_held(marks: DataFrame, seconds: int = 3600, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """``marks(session_id, seq, ts, kind)`` with kinds lock, plan and attempt: the streaming twin of ``ledger.locks_held``."""
+    keyed = _ordered(marks, ts, late, "session_id").groupBy("session_id")
+    return keyed.transformWithStateInPandas(statefulProcessor=Locks(seconds), outputStructType="session_id string, seq long, locked boolean", outputMode="Append", timeMode="EventTime")
+
+
 def upsert(path: str, key: list[str]):
     """A ``foreachBatch`` sink that is idempotent by batch: each batch replaces its own folder."""
 

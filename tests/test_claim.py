@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from guardlake import storage
+from guardlake.operators import claims
 from guardlake.operators import correlate as C
 
 
@@ -35,3 +38,33 @@ def test_claim_does_not_group_a_key_in_python(spark):
     plan = got._jdf.queryExecution().toString()
     assert "Pandas" not in plan and "Window" not in plan
     assert {r.seq: r.event_seq for r in got.collect()} == {1: 9, 2: None}
+
+
+@pytest.mark.parametrize("rows", [25, 10_000])
+def test_blocks_do_not_change_the_claim(spark, rows):
+    """Bursts at one instant, dense stretches, sparse ends, null keys and times; blocks far smaller than a burst."""
+    rng = random.Random(rows)
+    times = lambda n: [rng.choice([500, 500, rng.randrange(480, 520), rng.randrange(2000), None]) for _ in range(n)]
+    results = [(i, t, rng.choice(["hot", "hot", None])) for i, t in enumerate(times(120))]
+    events = [(1000 + i, t, rng.choice(["hot", "hot", None])) for i, t in enumerate(times(110))]
+    got = claims.claim(frame(spark, results), frame(spark, events), ["key"], 60, rows)
+    want = greedy([r for r in results if r[1] is not None], [e for e in events if e[1] is not None], 60)
+    assert {r.seq: (r.event_seq, r.distance) for r in got.collect()} == {i: want.get(i, (None, None)) for i in range(120)}
+
+
+def test_a_burst_takes_few_rounds(spark, monkeypatch):
+    """10,000 results at one instant, 9,000 events near it."""
+    written = []
+    monkeypatch.setattr(claims, "saved", lambda df: written.append(1) or storage.saved(df))
+    results = [(i, 1000, "a") for i in range(10_000)]
+    events = [(20_000 + i, 1000 + (i * 7919) % 300, "a") for i in range(9_000)]
+    got = {r.seq: (r.event_seq, r.distance) for r in C.claim(frame(spark, results), frame(spark, events), ["key"], 250).collect()}
+    order = sorted((abs(t - 1000), e) for e, t, _ in events if abs(t - 1000) <= 250)
+    assert got == {i: (order[i][::-1] if i < len(order) else (None, None)) for i in range(10_000)}
+    assert len(written) <= 5
+
+
+def test_empty_sides(spark):
+    some, none = frame(spark, [(1, 5, "a")]), frame(spark, [])
+    assert [tuple(r) for r in C.claim(some, none, ["key"], 5).collect()] == [(1, None, None)]
+    assert C.claim(none, some, ["key"], 5).count() == 0
