@@ -74,6 +74,10 @@ def flat_siblings(files: DataFrame, least: int = 3) -> DataFrame:
 # --- Python source facts ---------------------------------------------------------------
 
 
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
 def _complexity(node: ast.AST) -> int:
     branches = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert, ast.AsyncFor, ast.match_case)
     return 1 + sum(isinstance(x, branches) for x in ast.walk(node)) + sum(len(x.values) - 1 for x in ast.walk(node) if isinstance(x, ast.BoolOp))
@@ -102,11 +106,16 @@ BRANCHES = {"if": ast.If, "loop": (ast.For, ast.While, ast.AsyncFor), "except":
 
 
 def facts_of(path: str, text: str) -> list[tuple]:
-    """Rows (path, kind, name, line, lines, params, complexity, depth, hash, detail) of one file."""
+    """Rows (path, kind, name, line, lines, params, complexity, depth, hash, detail) of one file; one parse error if it cannot
+    be parsed, or is nested too deeply to be walked."""
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError) as e:
+        return _facts(path, text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return [(path, "parse_error", "", getattr(e, "lineno", 0) or 0, 0, 0, 0, 0, "", type(e).__name__)]
+
+
+def _facts(path: str, text: str) -> list[tuple]:
+    tree = ast.parse(text)
     out = [(path, "module", "", 1, text.count("\n") + 1, 0, 0, 0, "", "")]
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -124,7 +133,8 @@ def facts_of(path: str, text: str) -> list[tuple]:
             if any(re.fullmatch(r"(pytest\.)?fixture", ast.unparse(d.func if isinstance(d, ast.Call) else d)) for d in node.decorator_list):
                 out.append((path, "fixture", node.name, node.lineno, 0, 0, 0, 0, "", ""))
         elif isinstance(node, ast.Try):
-            called = dict.fromkeys(getattr(x.func, "attr", getattr(x.func, "id", "")) for s in node.body for x in ast.walk(s) if isinstance(x, ast.Call))
+            parts = [*node.body, *node.handlers]
+            called = dict.fromkeys(getattr(x.func, "attr", getattr(x.func, "id", "")) for s in parts for x in ast.walk(s) if isinstance(x, ast.Call))
             out += [(path, "try_call", c, node.lineno, i, 0, 0, 0, "", "") for i, c in enumerate(called) if c]
         elif isinstance(node, ast.ClassDef):
             methods = sum(isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) for x in node.body)
@@ -141,7 +151,7 @@ def facts_of(path: str, text: str) -> list[tuple]:
             f = node.func
             out.append((path, "call", f.attr if isinstance(f, ast.Attribute) else getattr(f, "id", ""), node.lineno, 0, len(node.args), 0, 0, "", ""))
         elif isinstance(node, ast.Constant) and isinstance(node.value, (str, int, float)) and not isinstance(node.value, bool):
-            out.append((path, "literal", repr(node.value)[:200], node.lineno, 0, 0, 0, 0, "", type(node.value).__name__))
+            out.append((path, "literal", repr(node.value)[:200], node.lineno, 0, 0, 0, 0, _digest(repr(node.value)), type(node.value).__name__))
         elif isinstance(node, (ast.AnnAssign, ast.arg)) and isinstance(node.annotation, ast.Name) and node.annotation.id == "Any":
             out.append((path, "any", "", node.lineno, 0, 0, 0, 0, "", ""))
         body_lists = [getattr(node, k, None) for k in ("body", "orelse", "finalbody")]

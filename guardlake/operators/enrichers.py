@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names that a hint lists at most.
-SHOWN = 6
+#: Names that a hint lists at most; fixed value: calls of a try statement.
+SHOWN, CALLS = 6, 5
 
 
-def _listed(df: DataFrame, by: list[str], what: str, at: str) -> DataFrame:
+def _listed(df: DataFrame, by: list[str], what: str, at: str, most: int = SHOWN) -> DataFrame:
     """Per key the names of ``what`` in order of ``at``, the first few."""
     rows = F.array_sort(F.collect_set(F.struct(F.col(at).alias("at"), F.col(what).alias("name"))))
-    return df.groupBy(*by).agg(F.array_join(F.transform(F.slice(rows, 1, SHOWN), lambda x: x["name"]), ", ").alias("names"))
+    return df.groupBy(*by).agg(F.array_join(F.transform(F.slice(rows, 1, most), lambda x: x["name"]), ", ").alias("names"))
 
 
 def _function(identifier: Column) -> Column:
@@ -60,8 +60,8 @@ def complexity(violations: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def silent_handlers(violations: DataFrame, facts: DataFrame) -> DataFrame:
-    """What the file calls where it catches, whose exceptions are to be named."""
-    called = _listed(facts.where("kind = 'try_call'").withColumn("at", F.col("line") * 1000 + F.col("lines")), ["path"], "name", "at")
+    """What the file calls where it catches, handlers included, whose exceptions are to be named."""
+    called = _listed(facts.where("kind = 'try_call'").withColumn("at", F.col("line") * 1000 + F.col("lines")), ["path"], "name", "at", CALLS)
     return _with(violations, "silent-except", called, {"path": F.col("relative_path")}, F.coalesce(F.concat(F.lit("may raise: "), "names"), F.lit("name the exception")))
 
 
