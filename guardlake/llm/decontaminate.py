@@ -149,18 +149,21 @@ def _automaton(key: str, items, window: int) -> SuffixAutomaton:
     return _built[key]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[dict[str, list[bytes]]]:
-    """Items by id as a string, in blocks of up to ``block_words`` words (or one item); repeated ids and texts join."""
-    block: dict[str, list[bytes]] = {}
+#: An item's id as a string, or null, and a number that tells items of one id apart.
+Item = tuple[str | None, int]
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[dict[Item, list[bytes]]]:
+    """Items in blocks of up to ``block_words`` words (or one item); repeated ids and texts join, items without a text are none."""
+    block: dict[Item, list[bytes]] = {}
     size = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t")).where("k is not null and t is not null").distinct()
+    rows = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
     for r in rows.orderBy("k", "t").toLocalIterator():
         ws = tokens(r.t.encode())
-        key = r.k if r.k not in block else f"{r.k}\0{len(block)}"
         if block and size + len(ws) > block_words:
             yield block
             block, size = {}, 0
-        block[key], size = ws, size + len(ws)
+        block[r.k, len(block)], size = ws, size + len(ws)
     yield block
 
 
@@ -168,7 +171,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """``docs`` with ``n_words``, ``spans`` (start, end in words, merged) and ``items`` (ids as sorted strings).
 
     The new names get ``prefix``; columns so named in ``docs`` are replaced. A null text has no words; items that
-    are null, empty or without words are in no document; rows that repeat each get their
+    have a null or empty text or no words are in no document; items with a null id hit words, but cannot be named in
+    ``items``, which counts no such item either; rows that repeat each get their
     result. Further blocks of items read the result of the block before. ``finish`` may
     turn each batch of the last block into one of the schema of ``docs``, in the same pass.
     """
@@ -191,7 +195,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     for t in b.column(at):
                         ws = tokens(t.as_buffer().to_pybytes()) if t.is_valid else []
                         found, names = auto.scan(ws)
-                        names = {k.split("\0")[0] for k in names}
+                        names = {k for k, _ in names if k is not None}
                         if before is not None:
                             old, old_names = next(before)
                             found, names = merge(found + [(x["start"], x["end"]) for x in old]), names | {*old_names}
