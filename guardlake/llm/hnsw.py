@@ -3,13 +3,15 @@
 Equal vectors collapse to one class. Classes are dealt to shards by hash; each shard builds
 hierarchical navigable small-world layers (Malkov and Yashunin, 2018), whole batches of
 vectors at a time. Every block of queries is searched in every shard. A beam is widened for
-queries whose beam ends inside the links, and for the whole block while an audit, a sample of
-its queries held against the whole shard, misses a link; beyond a quarter of the shard the
-exact search takes over. Cosines are verified in double precision.
+queries whose beam ends inside the links, and for the whole block while an audit misses a link:
+every hundredth id of its queries, and vectors planted near nodes of the shard, so that there are
+links to find, are held against the whole shard. Beyond a quarter of the shard the exact search
+takes over. Cosines are verified in double precision.
 
 Links found from either side count for both, so a pair that one search misses is not lost.
-Queries with many links in a shard are counted there instead of listing their pairs, and only
-a spanning forest of the links leaves a task, from which components are united.
+Queries with many links in a shard are searched there exactly; they and the nodes they link with
+are counted instead of listing their pairs, and only a spanning forest of the links leaves a task,
+from which components are united.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from guardlake.llm import words as W
 from guardlake.llm.common import connected_components, drop_saved, saved, table
 
 COSINE = 0.95
-#: Links of a query in a shard up to which they are listed as pairs.
+#: Links of a query in a shard up to which they are listed as pairs; those of others are counted, from an exact search.
 LISTED = 64
+#: Planted queries of an audit, in each half; bytes of the vectors of a shard and of a block of queries.
+PLANTED, SHARD_BYTES, BLOCK_BYTES = 128, 128 << 20, 48 << 20
 
 
 def select(sims: np.ndarray, ids: np.ndarray, vectors: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,20 +216,43 @@ def searched(graph: Graph, vectors: np.ndarray, queries: np.ndarray, cosine: flo
             yield todo[q], x
 
 
-def audited(graph: Graph, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float, beam: int = 96) -> tuple[int, int, int]:
-    """The beam that finds every link of half of the audited queries, and how many links of the
-    other half there are, and are found with it; if one of those is missed, the beam is doubled.
+def planted(vectors: np.ndarray, nodes: np.ndarray, cosine: float, seed: int) -> np.ndarray:
+    """Unit vectors near the given nodes, at cosines from ``cosine`` to 1."""
+    rng = np.random.default_rng(seed)
+    v = vectors[nodes]
+    side = rng.normal(size=v.shape)
+    side -= np.einsum("rd,rd->r", side, v)[:, None] * v
+    norm = np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(cosine + (1 - cosine) * 0.02, 1, (len(v), 1))
+    near = c * v + np.sqrt(1 - c * c) * side / np.where(norm > 1e-9, norm, 1)
+    return near / np.linalg.norm(near, axis=1, keepdims=True)
 
+
+def audited(graph: Graph, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float, beam: int = 96, plants: int = PLANTED) -> tuple[int, int, int]:
+    """A beam that finds every link of the audited queries, or is beyond the last graph search; then how many links there are of
+    queries that did not choose it, and how many of them are found with it.
+
+    Audited are half of the queries and ``plants`` vectors planted near nodes of the shard; the others are held out. While a
+    held-out link is missed the beam is doubled, and audited and held-out queries are searched again.
     ``own`` is each query's node in the shard, or -1: a query's link to itself is no link.
     """
     pairs = lambda found, own: {(q, x) for qs, xs in found for q, x in zip(qs.tolist(), xs.tolist()) if own[q] != x}
-    first, second = (slice(0, None, 2), slice(1, None, 2))
-    want = pairs(exact(vectors, queries[first], cosine), own[first])
-    while beam <= len(vectors) // 4 and not want <= pairs(searched(graph, vectors, queries[first], cosine, beam), own[first]):
+    nodes = np.argsort(W.mix(np.arange(len(vectors), dtype=np.uint64)))[: 2 * plants]
+    halves = []
+    for half in (0, 1):
+        near = planted(vectors, nodes[half::2], cosine, half)
+        q = np.concatenate([queries[half::2], near])
+        q_own = np.concatenate([own[half::2], np.full(len(near), -1)])
+        halves.append((q, q_own, pairs(exact(vectors, q, cosine), q_own)))
+    (first, first_own, want), (second, second_own, there) = halves
+    found: set = set()
+    while True:
+        while beam <= max(len(vectors) // 4, 64) and not want <= pairs(searched(graph, vectors, first, cosine, beam), first_own):
+            beam *= 2
+        found = there & pairs(searched(graph, vectors, second, cosine, beam), second_own)
+        if found == there or beam > max(len(vectors) // 4, 64):
+            return beam, len(there), len(found)
         beam *= 2
-    want = pairs(exact(vectors, queries[second], cosine), own[second])
-    found = want & pairs(searched(graph, vectors, queries[second], cosine, beam), own[second])
-    return (beam if found == want else 2 * beam), len(want), len(found)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,11 +285,12 @@ def _build(t: pa.Table) -> pa.Table:
 
 
 #: What a search returns. pair: query, its shard, node, multiplicities of both; count: query, shard and number of
-#: its links there; edge: of the forest; audit: links there are (a) and links found (b) of the audited queries.
+#: its links there; within: node, shard and number of the counted queries of that shard that link with it; edge: of the
+#: forest; audit: links there are (a) and links found (b) of the held-out queries.
 FOUND = "kind string, a long, b long, a_shard int, b_shard int, a_mult long, b_mult long"
 
 
-def _query(cosine: float, audits: int):
+def _query(cosine: float):
     def rows(kind: str, a, b=None, a_shard=None, b_shard=None, a_mult=None, b_mult=None) -> pa.Table:
         n = len(a)
         column = lambda x, t: pa.nulls(n, t) if x is None else pa.array(np.broadcast_to(x, n), t)
@@ -284,23 +312,37 @@ def _query(cosine: float, audits: int):
         own, own_shard, own_mult = (queries[c].to_numpy() for c in ("key", "home", "mult"))
         q_vectors = np.concatenate([_matrix(c) for c in queries["u"].chunks])
         node = {int(k): i for i, k in enumerate(keys)}
-        some = np.argsort(W.mix(own.view(np.uint64)))[:audits]
+        some = np.flatnonzero(np.array(queries["audit"].to_pylist(), bool))
         beam, true, got = audited(graph, vectors, q_vectors[some], np.array([node.get(int(k), -1) for k in own[some]]), cosine)
         out.append(rows("audit", [true], [got]))
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        counted = np.zeros(len(own), bool)
         for q, x in searched(graph, vectors, q_vectors, cosine, beam):
             other = own[q] != keys[x]
             q, x = q[other], x[other]
             if not len(q):
                 continue
-            n = np.bincount(q, minlength=len(own))
-            many = np.flatnonzero(n > LISTED)
-            if len(many):
-                links = np.bincount(q, weights=mult[x], minlength=len(own)).astype(np.int64)
-                out.append(rows("count", own[many], b_shard=shard, b_mult=links[many]))
-            few = n[q] <= LISTED
-            out.append(rows("pair", own[q[few]], keys[x[few]], own_shard[q[few]], shard, own_mult[q[few]], mult[x[few]]))
+            counted |= np.bincount(q, minlength=len(own)) > LISTED
+            few = ~counted[q]
+            q, x = q[few], x[few]
+            out.append(rows("pair", own[q], keys[x], own_shard[q], shard, own_mult[q], mult[x]))
+            a, b = _forest(np.concatenate([a, own[q]]), np.concatenate([b, keys[x]]))
+        many = np.flatnonzero(counted)
+        homes = np.unique(own_shard[many])
+        within = np.zeros((len(homes), len(keys)), np.int64)
+        for q, x in exact(vectors, q_vectors[many], cosine):
+            q = many[q]
+            other = own[q] != keys[x]
+            q, x = q[other], x[other]
+            if not len(q):
+                continue
+            links = np.bincount(q, weights=mult[x], minlength=len(own)).astype(np.int64)
+            some = np.unique(q)
+            out.append(rows("count", own[some], b_shard=shard, b_mult=links[some]))
+            np.add.at(within, (np.searchsorted(homes, own_shard[q]), x), own_mult[q])
             a, b = _forest(np.concatenate([a, own[q]]), np.concatenate([b, keys[x]]))
+        home, x = np.nonzero(within)
+        out.append(rows("within", keys[x], b_shard=homes[home], b_mult=within[home, x]))
         out.append(rows("edge", a, b))
         return pa.concat_tables(out)
 
@@ -309,16 +351,16 @@ def _query(cosine: float, audits: int):
 
 def embedding_components(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
-    shards: int = 8, shard_rows: int = 200_000, block_rows: int = 65_536, blocks: int = 2, audits: int = 256,
+    shards: int = 8, shard_rows: int = 200_000, block_rows: int = 65_536, blocks: int = 2, audit: str = "rep % 100 = 0",
 ) -> DataFrame:
     """``(id_col, n_links, component_id, kept, audit_recall)``: vectors linked at a cosine of ``cosine`` or more.
 
     A vector that is null, empty or zero, or holds a null or non-finite component, links
-    with nothing; vectors of different lengths do not link. Rows that repeat id and vector
-    are one vector; an id with several vectors has a row for each. ``shard_rows`` bounds a
-    shard and ``block_rows`` a block of queries; there are ``shards`` and ``blocks`` at least.
-    ``audits`` queries of each block and shard are held against the whole shard;
-    ``audit_recall`` is the share of links found of those that did not choose the beam (null if they have none).
+    with nothing; vectors of different lengths do not link; rows with a null id stay alone. Rows that repeat id and vector
+    are one vector; an id with several vectors has a row for each. ``shard_rows`` and a number of bytes bound a shard,
+    ``block_rows`` and bytes a block of queries; there are ``shards`` and ``blocks`` at least. Queries that fit ``audit``, a
+    condition on the smallest id ``rep`` of a vector, and planted ones are held against the whole of each shard;
+    ``audit_recall`` is the share of their links found of those that did not choose the beam (null without vectors).
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).distinct()
     good = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -329,22 +371,30 @@ def embedding_components(
     classes = valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("top").alias("top"))
     classes = classes.withColumn("s", F.transform("v", lambda x: x / F.col("top"))).withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)))
     classes = saved(classes.select(F.monotonically_increasing_id().alias("key"), "rep", "mult", "v", F.transform("s", lambda x: x / F.col("norm")).alias("u")))
-    n = classes.count()
+    n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("u")), F.lit(1))).first()
+    shard_rows, block_rows = max(1, min(shard_rows, SHARD_BYTES // (8 * dim))), max(1, min(block_rows, BLOCK_BYTES // (8 * dim)))
     shards, blocks = max(shards, -(-n // shard_rows)), max(blocks, -(-n // block_rows))
-    dealt = classes.select("key", "mult", "u", F.size("u").alias("dim"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    dealt = classes.select("key", "mult", "u", F.coalesce(F.expr(audit), F.lit(False)).alias("audit"), F.size("u").alias("dim"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     index = saved(dealt.select("dim", "shard", "key", "mult", "u").groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, part int, data binary"))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     asked = dealt.withColumnRenamed("shard", "home").withColumn("shard", every(shards))
     known = index.withColumn("block", every(blocks))
     keys = ("dim", "shard", "block")
-    found = saved(known.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_query(cosine, audits), FOUND))
+    found = saved(known.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_query(cosine), FOUND))
     audit = found.where("kind = 'audit'").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     pairs = found.where("kind = 'pair'")
     both = pairs.select(F.col("a").alias("key"), "b_shard", F.col("b").alias("other"), "b_mult")
     both = both.union(pairs.select("b", "a_shard", "a", "a_mult")).distinct()
-    listed = both.groupBy("key", "b_shard").agg(F.sum("b_mult").alias("listed"), F.lit(None).cast("long").alias("counted"))
-    counted = found.where("kind = 'count'").select(F.col("a").alias("key"), "b_shard", F.lit(None).cast("long").alias("listed"), F.col("b_mult").alias("counted"))
-    in_shard = listed.union(counted).groupBy("key", "b_shard").agg(F.coalesce(F.max("counted"), F.max("listed")).alias("n"))
+    counted = found.where("kind = 'count'").select(F.col("a").alias("key"), "b_shard", F.col("b_mult").alias("n"))
+    # a query counted in a shard is counted for that shard's nodes too, so the pair is dropped from the lists of either
+    own_shard = dealt.select("key", F.col("shard").alias("own_shard"))
+    dense = counted.select("key", "b_shard", F.lit(True).alias("dense"))
+    listed = both.join(own_shard, "key").join(dense, ["key", "b_shard"], "left")
+    other = dense.select(F.col("key").alias("other"), F.col("b_shard").alias("own_shard"), F.lit(True).alias("other_dense"))
+    listed = listed.join(other, ["other", "own_shard"], "left").where("dense is null and other_dense is null").select("key", "b_shard", F.col("b_mult").alias("n"))
+    within = found.where("kind = 'within'").select(F.col("a").alias("key"), "b_shard", F.col("b_mult").alias("n"))
+    within = within.join(dense, ["key", "b_shard"], "left_anti")
+    in_shard = listed.union(within).union(counted).groupBy("key", "b_shard").agg(F.sum("n").alias("n"))
     linked = in_shard.groupBy("key").agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("kind = 'edge'").select("a", "b").distinct()).withColumnRenamed("node", "key")
     named = classes.select("key", "rep", "v", "mult").join(linked, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
