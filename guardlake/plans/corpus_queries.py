@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from guardlake.functions import paths as P
@@ -12,6 +11,7 @@ from guardlake.operators import metrics as M
 from guardlake.operators import rules as R
 from guardlake.plans import proxies as X
 from guardlake.plans.proxies import HE, HR, RF
+from guardlake.sources import traces
 
 ENF = "decision in ('deny', 'block')"
 
@@ -21,6 +21,26 @@ def targets(s, d):
     return docs.select("doc_id", F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"), "source", "lang")
 
 
+def _records(s, d):
+    """Events as maps, the keys of every other one in another order."""
+    e = X.hook_events(s, d)
+    pairs = [(F.lit(c), F.col(c)) for c in ("session_id", "event_name", "tool_name", "path")]
+    flat = lambda p: F.create_map(*(x for kv in p for x in kv))
+    return e.select(F.when(F.col("seq") % 2 == 0, flat(pairs)).otherwise(flat(pairs[::-1])).alias("m"))
+
+
+def _errors():
+    """Errors that name a rule in either case, an unknown rule with and without a known beginning, none, and null."""
+    texts = (F.concat("rule_id", F.lit(": boom")), F.concat(F.lower("rule_id"), F.lit(":a\nb")), F.lit("py-new-1: x"), F.lit("Odd-Thing: y"), F.lit("no rule here: z"), F.lit(None).cast("string"))
+    return F.array(F.get(F.array(*texts), (F.col("k") % 6).cast("int")))
+
+
+def _input():
+    """A call's input in four spellings of two values, told apart by a number."""
+    spellings = ('{"a": N, "b": {"c": [1, {"x": 1, "y": 0}], "d": "e"}}', '{"b":{"d":"e","c":[1,{"y":0,"x":1}]},"a":N}', '{"a":N,"b":{"d":"e","c":[1,{"x":1,"y":0}]}}', '{"a":N,"b":{"d":"e","c":[{"x":1,"y":0},1]}}')
+    return F.replace(F.get(F.array(*map(F.lit, spellings)), (F.col("k") % 4).cast("int")), F.lit("N"), (F.col("k") % 5).cast("string"))
+
+
 def _symbols(s, d):
     p = X.table(s, d, "part")
     key = F.col("p_partkey").cast("string")
@@ -106,11 +126,11 @@ select rule_id, decision, severity, count(*) as n from o group by 1, 2, 3""",
         "select doc_id, case when length(text) > 180 then substr(text, 1, 180) || '…[trimmed]' else text end as preview from documents",
     ),
     "tail_n": (
-        lambda s, d: X.hook_events(s, d).withColumn("p", F.row_number().over(Window.partitionBy("event_name").orderBy(F.desc("seq")))).where("p <= 600").select("seq", "event_name"),
+        lambda s, d: traces.capped(X.hook_events(s, d), {e: 600 for e in X.EVENT_NAMES.values()}, "event_name").select("seq", "event_name"),
         f"with {HE} select seq, event_name from (select *, row_number() over (partition by event_name order by seq desc) as p from he) where p <= 600",
     ),
     "exact_dedupe": (
-        lambda s, d: X.hook_events(s, d).dropDuplicates(["session_id", "event_name", "tool_name", "path"]).agg(F.count("*").alias("n")),
+        lambda s, d: traces.deduplicated(_records(s, d)).agg(F.count("*").alias("n")),
         f"with {HE} select count(*) as n from (select distinct session_id, event_name, tool_name, path from he)",
     ),
     "constant_names": (
@@ -168,6 +188,20 @@ case when sessions >= 8 and total >= 10 then 'high' when sessions >= 3 and total
         f"""with {RF}, p as (select rule_id, session_id, count(*) as n, count(distinct ts) as times from rf group by 1, 2), g as (select rule_id, count(*) as sessions, count(*) filter (times > 1) as repeating, avg(n) as mean from p group by 1)
 select rule_id, sessions, repeating, cast(floor(cast(repeating as double) / sessions * (45 + 35 * (1 - exp(-mean / 20.0::double)) + 20 * (1 - exp(-sessions / 20.0::double))) + 0.5) as bigint) as repeat_score from g""",
     ),
+    "calibration_errors": (
+        lambda s, d: K.error_pressure(X.rule_findings(s, d).select(_errors().alias("errors")), X.rule_findings(s, d)),
+        f"""with {RF}, e as (select case k % 6 when 0 then rule_id when 1 then rule_id when 2 then 'PY-NEW-1' when 3 then 'odd-thing' end as rule_id from rf),
+n as (select rule_id, count(*) as errors from e where rule_id is not null group by 1),
+p as (select rule_id, session_id, count(*) as n, count(distinct ts) as times from rf group by 1, 2), g as (select rule_id, count(*) as sessions, count(*) filter (times > 1) as repeating, avg(n) as mean from p group by 1),
+r as (select rule_id, cast(floor(cast(repeating as double) / sessions * (45 + 35 * (1 - exp(-mean / 20.0::double)) + 20 * (1 - exp(-sessions / 20.0::double))) + 0.5) as bigint) as repeat_score from g),
+b as (select rule_id, coalesce(errors, 0) as errors, coalesce(repeat_score, 0) as repeat_score from n full join r using (rule_id)),
+c as (select *, case when errors > 0 then least(100, 30 + cast(floor((1 - exp(-errors / 5.0::double)) * 70 + 0.5) as bigint)) else 0 end as error_score from b)
+select rule_id, errors, error_score, repeat_score, greatest(error_score, repeat_score) as pressure from c""",
+    ),
+    "calibration_scopes": (
+        lambda s, d: X.hook_events(s, d).select("event_name", K.scope_key(F.col("event_name"), F.col("tool_name"), F.lit(None).cast("string"), _input()).alias("scope")).groupBy("event_name").agg(F.count_distinct("scope").alias("scopes")),
+        f"with {HE} select event_name, count(distinct (tool_name, k % 5, case when k % 4 = 3 then 1 else 0 end)) as scopes from he group by 1",
+    ),
     "calibration_persistence": (
         lambda s, d: K.persistence(X.rule_findings(s, d).withColumn("ts", F.date_trunc("day", "ts")), ["event_name", "tool_name"]),
         f"""with {RF}, p as (select rule_id, event_name, tool_name, date_trunc('day', ts) as ts, count(*) as n from rf group by 1, 2, 3, 4), e as (select rule_id, arg_min(n, ts) as f, arg_max(n, ts) as l, count(*) as k from p group by rule_id, event_name, tool_name having count(*) > 1),
