@@ -20,7 +20,7 @@ NATIVE_EVENTS = {
     "pi": {"tool_call": "PreToolUse", "user_bash": "PreToolUse", "tool_result": "PostToolUse", "tool_execution_end": "PostToolUse", "input": "UserPromptSubmit", "before_agent_start": "SessionStart", "turn_end": "TurnEnd", "agent_end": "Stop"},
 }
 #: Events known by the same name, and tools by other names.
-EVENTS = ("PreToolUse", "PostToolUse", "PostToolUseFailure", "PermissionRequest", "UserPromptSubmit", "SessionStart", "SessionEnd", "Stop", "SubagentStart", "SubagentStop", "PreCompact", "ConfigChange")
+EVENTS = ("PreToolUse", "PostToolUse", "PostToolUseFailure", "PermissionRequest", "UserPromptSubmit", "SessionStart", "SessionEnd", "Stop", "SubagentStart", "SubagentStop", "PreCompact", "PostCompact", "ConfigChange")
 TOOLS = {"bash": "Bash", "shell": "Bash", "terminal": "Bash", "read": "Read", "read_file": "Read", "edit": "Edit", "write": "Write", "file_edit": "Write", "after_file_edit": "Write", "multiedit": "MultiEdit", "notebookedit": "NotebookEdit", "todowrite": "TodoWrite", "grep": "Grep", "glob": "Glob", "webfetch": "WebFetch", "websearch": "WebSearch"}
 
 
