@@ -105,6 +105,15 @@ class _Plain(ast.NodeTransformer):
 BRANCHES = {"if": ast.If, "loop": (ast.For, ast.While, ast.AsyncFor), "except": ast.ExceptHandler, "bool": ast.BoolOp}
 
 
+def _names_any(node: ast.AST) -> bool:
+    """Whether an argument, a variable, a result or an import names the type that turns checks off, at any depth."""
+    if isinstance(node, ast.ImportFrom):
+        return node.module in ("typing", "typing_extensions") and any(a.name == "Any" for a in node.names)
+    kept = node.annotation if isinstance(node, (ast.arg, ast.AnnAssign)) else node.returns if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else None
+    inner = ast.walk(kept) if kept is not None else ()
+    return any(isinstance(x, ast.Name) and x.id == "Any" or isinstance(x, ast.Attribute) and x.attr == "Any" and getattr(x.value, "id", "") == "typing" for x in inner)
+
+
 def facts_of(path: str, text: str) -> list[tuple]:
     """Rows (path, kind, name, line, lines, params, complexity, depth, hash, detail) of one file; one parse error if it cannot
     be parsed, or is nested too deeply to be walked."""
@@ -116,6 +125,7 @@ def facts_of(path: str, text: str) -> list[tuple]:
 
 def _facts(path: str, text: str) -> list[tuple]:
     tree = ast.parse(text)
+    guarded = {id(x) for n in ast.walk(tree) if isinstance(n, ast.If) and getattr(n.test, "attr", getattr(n.test, "id", "")) == "TYPE_CHECKING" for s in n.body for x in ast.walk(s)}
     out = [(path, "module", "", 1, text.count("\n") + 1, 0, 0, 0, "", "")]
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -152,7 +162,7 @@ def _facts(path: str, text: str) -> list[tuple]:
             out.append((path, "call", f.attr if isinstance(f, ast.Attribute) else getattr(f, "id", ""), node.lineno, 0, len(node.args), 0, 0, "", ""))
         elif isinstance(node, ast.Constant) and isinstance(node.value, (str, int, float)) and not isinstance(node.value, bool):
             out.append((path, "literal", repr(node.value)[:200], node.lineno, 0, 0, 0, 0, _digest(repr(node.value)), type(node.value).__name__))
-        elif isinstance(node, (ast.AnnAssign, ast.arg)) and isinstance(node.annotation, ast.Name) and node.annotation.id == "Any":
+        if id(node) not in guarded and _names_any(node):
             out.append((path, "any", "", node.lineno, 0, 0, 0, 0, "", ""))
         body_lists = [getattr(node, k, None) for k in ("body", "orelse", "finalbody")]
         for body in (b for b in body_lists if isinstance(b, list)):

@@ -139,6 +139,8 @@ def _flow(path: str, tree: ast.Module) -> list[tuple]:
         if isinstance(node, ast.ClassDef) and any(map(_typed_dict, node.bases)):
             fields = [x for x in node.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name) and _bare_list(x.annotation)]
             out += [(path, "state_list", node.name, node.lineno, i, x.lineno, x.end_lineno, "", x.target.id, 0, 0, 0) for i, x in enumerate(fields)]
+        elif isinstance(node, ast.Constant) and isinstance(node.value, str):
+            out.append((path, "string", "", 0, 0, node.lineno, node.end_lineno, "", "", 0, 0, 0))
         token = getattr(node, "id", None) or getattr(node, "attr", None) if isinstance(node, (ast.Name, ast.Attribute)) else node.name if isinstance(node, ast.alias) else None
         if token:
             out.append((path, "token", "", 0, 0, getattr(node, "lineno", 0), 0, "", token.lower(), 0, 0, 0))

@@ -99,12 +99,16 @@ def error_rules(errors: DataFrame, rules: DataFrame, pattern: str = r"([A-Za-z]+
     return joined.select(*errors.columns, F.coalesce("rule_id", F.when(F.col("_id") != "", F.col("family_rule"))).alias("rule_id"))
 
 
-def long_lines(files: DataFrame, id_col: str, text_col: str, limit: int = 120) -> DataFrame:
-    """Lines over the limit that are no comment, import or address."""
+def long_lines(files: DataFrame, id_col: str, text_col: str, limit: int = 120, strings: DataFrame | None = None) -> DataFrame:
+    """Lines over the limit that are no comment, import or address; with the ``strings`` of ``flow_facts``, none that a literal stands on."""
     line = F.rtrim("raw")
     split = files.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "raw")).withColumn("raw", line)
     skip = F.ltrim("raw").startswith("#") | F.ltrim("raw").rlike(r"^(import|from)\s") | F.col("raw").rlike(r"https?://")
-    return split.where((F.length("raw") > limit) & ~skip).select(id_col, (F.col("at") + 1).cast("long").alias("line"), F.length("raw").cast("long").alias("length"))
+    found = split.where((F.length("raw") > limit) & ~skip).select(id_col, (F.col("at") + 1).cast("long").alias("line"), F.length("raw").cast("long").alias("length"))
+    if strings is None:
+        return found
+    held = strings.where("kind = 'string'").select(F.col("path").alias(id_col), F.explode(F.sequence("line", "end_line")).alias("line")).distinct()
+    return found.join(held, [id_col, "line"], "left_anti")
 
 
 def feature_envy(accesses: DataFrame, least: int = 6, share: float = 0.6) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from guardlake.operators import flow
+from guardlake.operators import detect, flow
+from guardlake.operators.more import long_lines
 
 FILES = "path string, text string"
 
@@ -64,3 +65,16 @@ def test_candidates_meet_tokens_by_either_name(spark):
     tokens, ours = flow.property_tokens(tests, flow.flow_facts(tests))
     got = flow.property_candidates(facts(spark, m=source), tokens, ours, F.col("path"))
     assert sorted(r.identifier for r in got.collect()) == ["m.Merge", "m.parse"]
+
+
+def test_long_lines_of_strings(spark):
+    long = "x" * 130
+    text = f"a = {long}\nb = '{long}'\nc = '''\n{long}\n'''\nd = f('s', {long})\n# {long}\n"
+    files = spark.createDataFrame([("p", text), ("q", f"def (\n{long}\n")], FILES)
+    got = long_lines(files, "path", "text", 120, flow.flow_facts(files))
+    assert sorted((r.path, r.line) for r in got.collect()) == [("p", 1), ("q", 2)]
+
+
+def test_unchecked_types_at_any_depth():
+    text = "from typing import Any, List\nif TYPE_CHECKING:\n    from typing import Any\n    z: Any\nx: dict[str, Any] = {}\ny: int\ndef f(a: typing.Any, *b: 'Any', **c: Any | None) -> list[Any]:\n    return Any\n"
+    assert [r[3] for r in detect.facts_of("p", text) if r[1] == "any"] == [1, 5, 7, 7, 7]
