@@ -25,6 +25,18 @@ SUMMARY = """ss as (select session_id, arg_min(platform, seq) as platform, count
 SPANS = """sx as (select session_id || '/' || strftime(ts, '%Y-%m-%d') as sid, min(epoch_us(ts)) as st, max(epoch_us(ts)) as en, list_distinct(list(path)) as paths from he group by 1)"""
 
 
+#: Texts that sessions are searched by.
+TEXTS = ("R-1", " Block ", "dir4/f1", "opencode", "CAT /home/u/repos/repo1", "work of s7", "grep", "nowhere", " ")
+
+
+def _terms(s, d):
+    e, r = X.hook_events(s, d), X.hook_results(s, d)
+    own = S.summary(e, r).select("session_id", F.concat(F.lit("Work of "), "session_id").alias("title"), "outcome")
+    shell = e.where("tool_name = 'Bash'").select("session_id", F.concat(F.lit("cat "), "path").alias("command"))
+    own_fields = {"title": (own, "title"), "id": (e.withColumn("id", F.col("session_id")), "id"), "platform": (e, "platform"), "outcome": (own, "outcome"), "tool": (e, "tool_name")}
+    return S.search_terms(own_fields | {"rule": (X.rule_findings(s, d), "rule_id"), "path": (e, "candidate_paths"), "command": (shell, "command")})
+
+
 def _units(s, d):
     e = X.hook_events(s, d).withColumn("sid", F.concat("session_id", F.lit("/"), F.date_format("ts", "yyyy-MM-dd")))
     return S.spans(e, ["sid"])
@@ -100,6 +112,13 @@ select p.child as child, coalesce(min(up.at) filter (not exists (select 1 from p
         lambda s, d: S.search(X.hook_events(s, d), "dir4/f1"),
         f"with {HE} select session_id, count(*) as hits from he where contains(lower(session_id), 'dir4/f1') or contains(platform, 'dir4/f1') or contains(lower(tool_name), 'dir4/f1') or len(list_filter(candidate_paths, lambda x: contains(lower(x), 'dir4/f1'))) > 0 group by 1",
     ),
+    "session_search_fields": (
+        lambda s, d: S.found_by(_terms(s, d), TEXTS).select("text", "session_id", F.array_join("fields", ",").alias("fields")),
+        f"""with {HR}, {SUMMARY}, t as (select session_id, 'title' as field, 'Work of ' || session_id as term from ss union select session_id, 'id', session_id from he union select session_id, 'platform', platform from he
+union select session_id, 'outcome', outcome from so union select session_id, 'tool', tool_name from he union select session_id, 'rule', rule_id from rf union select session_id, 'path', unnest(candidate_paths) from he
+union select session_id, 'command', 'cat ' || path from he where tool_name = 'Bash'), q as (select unnest([{', '.join(f"'{t}'" for t in TEXTS)}]) as text)
+select text, session_id, string_agg(distinct field, ',' order by field) as fields from t join q on contains(lower(term), lower(trim(text))) group by 1, 2""",
+    ),
     "path_semi_filter": (
         lambda s, d: S.touched(X.rule_findings(s, d), X.hook_events(s, d), "/home/u/repos/repo1/dir3/f93.py").groupBy("session_id").agg(F.count("*").alias("n")),
         f"with {RF} select session_id, count(*) as n from rf where session_id in (select session_id from (select session_id, unnest(candidate_paths) as p from he) where p = '/home/u/repos/repo1/dir3/f93.py' or starts_with(p, '/home/u/repos/repo1/dir3/f93.py/')) group by 1",
