@@ -8,6 +8,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,45 @@ def test_score_depends_on_the_order_of_words_and_not_on_cores(spark, docs):
     assert got[2].base_score == pytest.approx(got[3].base_score) and got[2].score > got[3].score
 
 
+def test_a_task_hands_each_symbol_on_once(texts, monkeypatch):
+    """However many slices its texts come in; a full store is handed on early, and nothing is lost."""
+    some = [t.encode() for t in texts.values()][:200]
+    batches = [pa.record_batch([pa.array(some[i : i + 10], pa.binary()), pa.array([g % 3 - 1 for g in range(len(some[i : i + 10]))], pa.int32())], names=["t", "gate"]) for i in range(0, len(some), 10)]
+    want = {g: Counter(p for i, t in enumerate(some) if i % 10 % 3 - 1 == g for p in pieces_of(t.decode())) for g in (0, 1)}
+    every = {p for t in some for p in pieces_of(t.decode())}
+    for room in (mixing.GATHER, 1000):
+        monkeypatch.setattr(mixing, "GATHER", room)
+        rows = [r for b in mixing._vocabulary(2)(iter(batches)) for r in b.to_pylist()]
+        assert {r["w"] for r in rows} == every and (len(rows) == len(every)) == (room > 1000)
+        for g in (0, 1):
+            got = Counter()
+            for r in rows:
+                got[r["w"]] += r[f"n{g}"]
+            assert +got == want[g]
+
+
+def test_equal_beginnings_are_looked_up_once():
+    symbols = [b"garden", b"gardens", b"gardener", b"of\tgar", b"of\tgas", b"he\tgar", b"a", b"a" * 40]
+    owner, which, data, symbol, context = mixing.coded(symbols)
+    own = {i: (s if b"\t" in s else s + b" ")[:] for i, s in enumerate(symbols)}
+    starts = [(i, p) for i, s in own.items() for p in range(s.index(b"\t") + 1 if b"\t" in s else 3, len(s))]
+    assert len(owner) == len(which) == len(starts) and owner.tolist() == [i for i, _ in starts]
+    assert len(data) == len({own[i][: p + 1] for i, p in starts}) < len(starts)
+    assert bytes(data[which].tolist()) == bytes(own[i][p] for i, p in starts)
+    for i in range(len(symbols)):  # alone, a symbol has the same contexts
+        _, w, _, _, alone = mixing.coded(symbols[i : i + 1])
+        assert all((c[which][owner == i] == a[w]).all() for c, a in zip(context, alone))
+    two = mixing.coded([b"garden", b"garden"], np.array([0, 1]))
+    assert len(two[2]) == 2 * len(mixing.coded([b"garden"])[2])  # gates learn apart
+
+
+def test_packed_hashes():
+    some = [b"", b"a", b" \tab", b"ing\tthe", b"12345678"]
+    size = np.array([len(x) for x in some])
+    packed = np.array([int.from_bytes(x, "little") for x in some], np.uint64)
+    assert (words.packed_hashes(packed, size) == words.word_hashes(np.frombuffer(b"".join(some), np.uint8), np.cumsum(size) - size, np.cumsum(size))).all()
+
+
 # 6 ------------------------------------------------------------------------------------
 
 
