@@ -254,6 +254,18 @@ def test_a_task_hands_each_symbol_on_once(texts, monkeypatch):
             assert +got == want[g]
 
 
+def test_rare_symbols_in_many_rows(docs, monkeypatch):
+    """A text with more rare symbols than a row takes has the same score, and one row in the result."""
+    monkeypatch.setattr(mixing, "HEAD", 50)
+    some = docs.where("doc_id < 60").cache()
+    base = {r.doc_id: r for r in mixing.score(some).collect()}
+    monkeypatch.setattr(mixing, "LIST", 3)
+    got = mixing.score(some).collect()
+    assert len(got) == len(base) == some.count() and max(r.n_tokens for r in got) > 100
+    for r in got:
+        assert r[:5] == base[r.doc_id][:5] and abs(r.score - base[r.doc_id].score) < 1e-9 * abs(r.score)
+
+
 def test_equal_beginnings_are_looked_up_once():
     symbols = [b"garden", b"gardens", b"gardener", b"of\tgar", b"of\tgas", b"he\tgar", b"a", b"a" * 40]
     owner, which, data, symbol, context = mixing.coded(symbols)
