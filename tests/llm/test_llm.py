@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from math import log10
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -254,6 +255,27 @@ def test_a_task_hands_each_symbol_on_once(texts, monkeypatch):
             assert +got == want[g]
 
 
+def test_counts_beyond_32_bits(monkeypatch):
+    """Counts of a slot add up exactly, whether one symbol passes 32 bits or many do together."""
+    symbols, n = [b"garden", b"gardens", b"of\tgar"], np.array([3 << 30, 2, 7])
+    monkeypatch.setattr(mixing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    sizes = mixing.sized(3)
+
+    def counted(*rows):
+        out = np.zeros((2, -(-sum(sizes) // mixing.PART), mixing.PART), np.int64)
+        for b in mixing._count(1, sizes)(iter([pa.record_batch([pa.array(symbols, pa.binary()), pa.array(n)], names=["w", "n0"]) for n in rows])):
+            for r in b.to_pylist():
+                out[:, r["part"]] += np.frombuffer(zlib.decompress(r["data"]), np.int64).reshape(2, -1)
+        return out
+
+    assert (counted(n * 5) == 5 * counted(n)).all() and counted(n).max() > 3 << 30
+    small = np.array([2, 5, 7])
+    monkeypatch.setattr(mixing, "WIDE", 20)
+    wide = counted(small)
+    monkeypatch.setattr(mixing, "WIDE", 2**31 - 1)
+    assert (wide == counted(small)).all() and wide.sum() > 0
+
+
 def test_rare_symbols_in_many_rows(docs, monkeypatch):
     """A text with more rare symbols than a row takes has the same score, and one row in the result."""
     monkeypatch.setattr(mixing, "HEAD", 50)
