@@ -9,6 +9,7 @@ from guardlake.operators import calibration as K
 from guardlake.operators import detect as D
 from guardlake.operators import metrics as M
 from guardlake.operators import rules as R
+from guardlake.operators.parse import dealt
 from guardlake.plans import proxies as X
 from guardlake.plans.proxies import HE, HR, RF
 from guardlake.sources import traces
@@ -58,7 +59,7 @@ SYM = """sym as (select 'sym' || p_partkey as name, 'mod.sym' || p_partkey as qu
 
 def _sources(s, d):
     """Generated Python files: a function per part whose size, arguments and nesting follow its columns."""
-    p = X.table(s, d, "part")
+    p = dealt(X.table(s, d, "part").select("p_partkey", "p_size"), "p_partkey")
     args = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("p_size") % 7).cast("int")), lambda i: F.concat(F.lit("a"), i.cast("string"))), ", ")
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size").cast("int") + 10), lambda i: F.concat(F.lit("    if a0 > "), i.cast("string"), F.lit(":\n        a0 += "), i.cast("string"))), "\n")
     text = F.concat(F.lit("import os\n\n\ndef fn"), F.col("p_partkey").cast("string"), F.lit("("), args, F.lit("):\n"), body, F.lit("\n    return a0\n"), F.when(F.col("p_partkey") % 97 == 0, "def broken(:\n").otherwise(""))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from guardlake.operators import detect as D
 from guardlake.operators import smells
+from guardlake.operators.parse import dealt
 from guardlake.plans import proxies as X
 from guardlake.plans.guard_queries import _pick, _values
 
@@ -51,7 +52,7 @@ BUILDER = ((13, "set_entry_point()", 'set_entry_point()->add_edge(START, "node")
 
 def _files(s, d):
     """A hand-made file for every customer, in a folder of its own."""
-    c = X.table(s, d, "customer")
+    c = dealt(X.table(s, d, "customer").select("c_custkey"), "c_custkey")
     n = F.col("c_custkey") % len(FILES)
     return c.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string"), F.lit("/"), _pick(n, [p for p, _ in FILES])).alias("path"), _pick(n, [t for _, t in FILES]).alias("text"))
 
@@ -88,10 +89,10 @@ HINTS = (
 GENERATED = "g as (select 'src/m' || p_partkey || '.py' as path, 'fn' || p_partkey as name, p_size + 10 as n, p_size % 7 + 1 as k, p_partkey % 97 = 0 as broken from part)"
 
 
-def _sources(s, d):
+def _sources(s, d, kinds=D.ALL):
     from guardlake.plans.corpus_queries import _sources as generated
 
-    return D.source_facts(generated(s, d))
+    return D.source_facts(generated(s, d), kinds=kinds)
 
 
 QUERIES = {
