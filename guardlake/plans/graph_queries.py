@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from guardlake.operators import callgraph as G
 from guardlake.operators import detect as D
 from guardlake.operators import enrichers, smells
+from guardlake.operators.parse import dealt
 from guardlake.plans import proxies as X
 from guardlake.plans.guard_queries import _values
 from guardlake.plans.shape_queries import HINTED, HINTS
@@ -41,12 +42,16 @@ GROUPED = (
 )
 
 
+def _customers(s, d):
+    return dealt(X.table(s, d, "customer").select("c_custkey"), "c_custkey")
+
+
 def _files(s, d):
     k = F.col("c_custkey").cast("string")
     file = lambda f: F.struct(F.replace(F.lit(f[0]), F.lit("N"), k).alias("path"), F.replace(F.lit(f[1]), F.lit("N"), k).alias("text"))
     flow = F.when(F.col("c_custkey") % 2 == 0, F.array(file(FLOW))).otherwise(F.array().cast("array<struct<path:string,text:string>>"))
     each = F.explode(F.concat(F.array(*(file(f) for f in PACKAGE)), flow)).alias("f")
-    return X.table(s, d, "customer").select(each).select("f.*")
+    return _customers(s, d).select(each).select("f.*")
 
 
 def _facts(s, d):
@@ -64,7 +69,7 @@ def _hinted(s, d):
     """The enrichers' files in a folder for every customer; names are the customer's own."""
     k = F.concat(F.lit("r"), F.col("c_custkey").cast("string"))
     file = lambda f: F.struct(F.concat(k, F.lit("/" + f[0])).alias("path"), F.replace(F.replace(F.lit(f[1]), F.lit("a("), F.concat(F.lit("a"), k, F.lit("("))), F.lit("c("), F.concat(F.lit("c"), k, F.lit("("))).alias("text"))
-    files = X.table(s, d, "customer").select(F.explode(F.array(*(file(f) for f in HINTED))).alias("f")).select("f.*")
+    files = _customers(s, d).select(F.explode(F.array(*(file(f) for f in HINTED))).alias("f")).select("f.*")
     facts = D.source_facts(files)
     return enrichers.enriched(D.size_violations(facts).union(smells.shape_violations(files)), facts)
 
@@ -103,8 +108,8 @@ def _sized(s, d):
     """A file for every customer, in a folder of its own."""
     n = (F.col("c_custkey") % len(SIZED)).cast("int")
     pick = lambda i: F.get(F.array(*(F.lit(f[i]) for f in SIZED)), n)
-    files = X.table(s, d, "customer").select(F.concat_ws("/", F.col("c_custkey").cast("string"), pick(0)).alias("path"), pick(1).alias("text"))
-    return D.size_violations(D.source_facts(files))
+    files = _customers(s, d).select(F.concat_ws("/", F.col("c_custkey").cast("string"), pick(0)).alias("path"), pick(1).alias("text"))
+    return D.size_violations(D.source_facts(files, kinds=D.SIZES))
 
 
 QUERIES = {
