@@ -7,13 +7,12 @@ callers and boundaries are aggregations, and what a function reaches is a closur
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.operators.parse import parsed, walked
 from guardlake.storage import drop_saved, saved
 
 #: What logs, what makes a boundary of events or packages.
@@ -43,8 +42,8 @@ INTEGRATION = ("integration", "e2e", "end_to_end", "pipeline")
 SEAM_BONUS, SEAM_LEAST = 6, 8
 #: Kinds: def, call, import, token; scope is the function or class and function around, without those inside it.
 FACTS = "path string, module string, kind string, scope string, name string, line long, chain array<string>, target string, params long, branches long, transforms long"
-_BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.BoolOp, ast.Compare, ast.Match)
-_SHAPES = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Subscript)
+_BRANCHES = frozenset((ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.BoolOp, ast.Compare, ast.Match))
+_SHAPES = frozenset((ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Subscript))
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -69,14 +68,17 @@ def facts_of(path: str, text: str) -> list[tuple]:
     """Facts of one file; a file that cannot be parsed has none."""
     try:
         tree = ast.parse(text)
-        nodes = list(ast.walk(tree))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     module, out = module_name(path), []
     package = module if path.endswith("__init__.py") else module.rpartition(".")[0]
 
     def row(kind, scope="", name="", line=0, chain=(), target="", params=0, branches=0, transforms=0):
-        out.append((path, module, kind, scope, name, line, list(chain), target, params, branches, transforms))
+        out.append((path, module, kind, scope, name, line, chain, target, params, branches, transforms))
+
+    def call(x: ast.Call, scope: str, owner: str) -> None:
+        chain = chains[x]
+        row("call", scope, chain[-1] if chain else "", x.lineno, chain, owner, int(isinstance(x.func, ast.Name)))
 
     def definitions(body: list[ast.stmt], owner: str) -> None:
         for node in body:
@@ -85,45 +87,43 @@ def facts_of(path: str, text: str) -> list[tuple]:
                 if not owner:
                     row("class", "", node.name, node.lineno)
             elif isinstance(node, _DEFS):
-                scope, inner = f"{owner}.{node.name}" if owner else node.name, list(ast.walk(node))
-                calls = [chain_of(x.func) for x in inner if isinstance(x, ast.Call)]
+                scope, inner = f"{owner}.{node.name}" if owner else node.name, walked(node)
+                calls = [x for x in inner if x.__class__ is ast.Call]
+                chains.update((x, tuple(chain_of(x.func))) for x in calls)
                 args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
                 row(
-                    "def", scope, node.name, node.lineno, (), owner, sum(a.arg not in ("self", "cls") for a in args), sum(isinstance(x, _BRANCHES) for x in inner),
-                    sum(isinstance(x, _SHAPES) for x in inner) + sum(c[-1].lower() in TRANSFORMS for c in calls if c),
+                    "def", scope, node.name, node.lineno, (), owner, sum(a.arg not in ("self", "cls") for a in args), sum(x.__class__ in _BRANCHES for x in inner),
+                    sum(x.__class__ in _SHAPES for x in inner) + sum(chains[x][-1].lower() in TRANSFORMS for x in calls if chains[x]),
                 )
-                for x in inner:
-                    if isinstance(x, ast.Call):
-                        seen.add(x)
-                        row("call", scope, (chain_of(x.func) or [""])[-1], x.lineno, chain_of(x.func), owner, int(isinstance(x.func, ast.Name)))
-                    elif node.name.startswith("test") and isinstance(x, (ast.Name, ast.Attribute)):
-                        row("token", scope, (x.id if isinstance(x, ast.Name) else x.attr).lower())
-
-    seen: set[ast.AST] = set()
+                for x in calls:
+                    call(x, scope, owner)
+                if node.name.startswith("test"):
+                    for x in inner:
+                        if isinstance(x, (ast.Name, ast.Attribute)):
+                            row("token", scope, (x.id if isinstance(x, ast.Name) else x.attr).lower())
+
+    chains: dict[ast.Call, tuple[str, ...]] = {}  # of the calls within definitions, then of all
     definitions(tree.body, "")
-    for x in nodes:
-        if isinstance(x, ast.Call) and x not in seen:
-            row("call", "", (chain_of(x.func) or [""])[-1], x.lineno, chain_of(x.func), "", int(isinstance(x.func, ast.Name)))
-        elif isinstance(x, ast.Import):
+    for x in walked(tree):
+        if x.__class__ is ast.Call:
+            if x not in chains:
+                chains[x] = tuple(chain_of(x.func))
+                call(x, "", "")
+        elif x.__class__ is ast.Import:
             for a in x.names:  # "import a.b" binds a
                 row("import", "", a.asname or a.name.split(".")[0], x.lineno, (), a.name if a.asname else a.name.split(".")[0])
-        elif isinstance(x, ast.ImportFrom):
+        elif x.__class__ is ast.ImportFrom:
             up = package.split(".")[: len(package.split(".")) - x.level + 1] if x.level else []
             base = ".".join(p for p in (*up, x.module or "") if p)
             for a in x.names:
                 row("import", "", a.asname or a.name, x.lineno, (), f"{base}.{a.name}" if base else a.name)
-    return list({(*r[:6], tuple(r[6]), *r[7:]): r for r in out}.values())
+    return list(dict.fromkeys(out))
 
 
 def call_facts(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """Facts of all files, one parse each. Null texts are empty files, files without a path have no facts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in FACTS.split(", ")]
-        for b in batches:
-            yield pd.DataFrame([r for p, t in zip(b["path"], b["text"]) for r in facts_of(p, t or "")], columns=columns)
-
-    return files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).where("path is not null").mapInPandas(run, FACTS)
+    """Facts of all files, one parse each: they are written once, as every query on them reads them several times. Null texts
+    are empty files, files without a path have no facts."""
+    return saved(parsed(files.where(F.col(path_col).isNotNull()), path_col, text_col, facts_of, FACTS))
 
 
 def is_test(path: Column) -> Column:
