@@ -5,12 +5,15 @@ from __future__ import annotations
 import ast
 import builtins
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardlake.operators.parse import parsed, walked
+from guardlake.storage import saved
+
 FLOW = "path string, kind string, scope string, scope_at long, at long, line long, end_line long, hash string, flag string, params long, branches long, transforms long"
 #: Marks of a graph source.
 GRAPH_MARKS = ("from langgraph", "import langgraph", "StateGraph")
@@ -31,10 +34,16 @@ PROPERTIES = (
 )
 LITERAL_CALLS = ("chr", "frozenset", "Path")
 
-_BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.BoolOp, ast.Compare, ast.Match)
-_TRANSFORMS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Subscript)
+_BRANCHES = frozenset((ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.BoolOp, ast.Compare, ast.Match))
+_TRANSFORMS = frozenset((ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Subscript))
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _IGNORED = {"decorator_list", "returns", "annotation", "ctx", "type_comment", "kind"}
+_NUMBERED = (ast.arg, *_FUNCTIONS)
+_BUILT_IN = frozenset((*dir(builtins), *dir(type(builtins))))
+#: Fields that count to a structure, by kind of node, last first.
+_SHAPED = {
+    c: tuple(f for f in reversed(c._fields) if f not in _IGNORED and not (c in _NUMBERED and f in ("arg", "name"))) for c in vars(ast).values() if isinstance(c, type) and issubclass(c, ast.AST)
+}
 
 
 def shape(statement: ast.stmt) -> str:
@@ -42,32 +51,30 @@ def shape(statement: ast.stmt) -> str:
 
     Called names, built-in names, attributes and keywords stay; annotations and decorators do not count.
     """
-    kept = {id(x.func) for x in ast.walk(statement) if isinstance(x, ast.Call)}
+    kept = {x.func for x in walked(statement) if x.__class__ is ast.Call}
     numbers: dict[str, int] = {}
-    digest, todo = hashlib.sha256(), [statement]
+    parts, todo = [], [statement]
     while todo:
         item = todo.pop()
-        if not isinstance(item, ast.AST):
-            digest.update(repr(item).encode("utf-8", "surrogatepass") + b"\0")
+        kind = item.__class__
+        if kind not in _SHAPED:
+            parts.append(repr(item))
+            continue
+        label = kind.__name__
+        if kind is ast.Constant:
+            parts.append(repr(f"{label} {type(item.value).__name__}"))
             continue
-        label = type(item).__name__
-        if isinstance(item, ast.Constant):
-            todo.append(f"{label} {type(item.value).__name__}")
+        if kind is ast.Name:
+            parts.append(repr(f"{label} {numbers.setdefault(item.id, len(numbers)) if item not in kept and item.id not in _BUILT_IN else item.id}"))
             continue
-        if isinstance(item, ast.Name) and id(item) not in kept and not hasattr(builtins, item.id):
-            label = f"{label} {numbers.setdefault(item.id, len(numbers))}"
-        elif isinstance(item, ast.Name):
-            label = f"{label} {item.id}"
-        elif isinstance(item, (ast.arg, *_FUNCTIONS)):
-            name = item.arg if isinstance(item, ast.arg) else item.name
+        if kind in _NUMBERED:
+            name = item.arg if kind is ast.arg else item.name
             label = f"{label} {numbers.setdefault(name, len(numbers))}"
-        named = isinstance(item, (ast.Name, ast.arg, *_FUNCTIONS))
-        for field, value in reversed(list(ast.iter_fields(item))):
-            if field in _IGNORED or named and field in ("id", "arg", "name"):
-                continue
-            todo += [*reversed(value), f"{field} {len(value)}"] if isinstance(value, list) else [value, field]
-        todo.append(label)
-    return digest.hexdigest()[:16]
+        parts.append(repr(label))
+        for field in _SHAPED[kind]:
+            value = getattr(item, field)
+            todo += [*reversed(value), f"{field} {len(value)}"] if value.__class__ is list else [value, field]
+    return hashlib.sha256("".join(f"{p}\0" for p in parts).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def _constant_name(name: str) -> bool:
@@ -116,52 +123,50 @@ def _typed_dict(base: ast.expr) -> bool:
     return getattr(base, "attr", getattr(base, "id", "")) == "TypedDict"
 
 
-def flow_of(path: str, text: str) -> list[tuple]:
-    """Rows of one file by ``FLOW``; none where it cannot be parsed or is too deep to be walked."""
+#: Kinds of rows.
+ALL = frozenset(("statement", "state_list", "string", "token", "symbol"))
+
+
+def flow_of(path: str, text: str, kinds: frozenset[str] = ALL) -> list[tuple]:
+    """Rows of one file by ``FLOW``, of ``kinds`` alone; none where it cannot be parsed or is too deep to be walked."""
     try:
         tree = ast.parse(text)
-        return _flow(path, tree)
+        return _flow(path, tree, kinds)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
 
 
-def _flow(path: str, tree: ast.Module) -> list[tuple]:
-    out = []
-    scopes = [tree, *(x for x in ast.walk(tree) if isinstance(x, _FUNCTIONS))]
-    for number, scope in enumerate(scopes):
+def _flow(path: str, tree: ast.Module, kinds: frozenset[str]) -> list[tuple]:
+    out, nodes = [], walked(tree) if kinds - {"symbol"} else []
+    scopes = [tree, *(x for x in nodes if isinstance(x, _FUNCTIONS))]
+    for number, scope in enumerate(scopes if "statement" in kinds else ()):
         body = scope.body[1:] if ast.get_docstring(scope, clean=False) is not None else scope.body
         lead = 0
         while lead < len(body) and isinstance(body[lead], (ast.Import, ast.ImportFrom)):
             lead += 1
         name = getattr(scope, "name", "<module>")
         out += [(path, "statement", name, number, i, s.lineno, s.end_lineno, shape(s), "lead" if i < lead else _flag(s), 0, 0, 0) for i, s in enumerate(body)]
-    for node in ast.walk(tree):
-        if isinstance(node, ast.ClassDef) and any(map(_typed_dict, node.bases)):
+    for node in nodes:
+        if isinstance(node, ast.ClassDef) and "state_list" in kinds and any(map(_typed_dict, node.bases)):
             fields = [x for x in node.body if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name) and _bare_list(x.annotation)]
             out += [(path, "state_list", node.name, node.lineno, i, x.lineno, x.end_lineno, "", x.target.id, 0, 0, 0) for i, x in enumerate(fields)]
-        elif isinstance(node, ast.Constant) and isinstance(node.value, str):
+        elif isinstance(node, ast.Constant) and "string" in kinds and isinstance(node.value, str):
             out.append((path, "string", "", 0, 0, node.lineno, node.end_lineno, "", "", 0, 0, 0))
         token = getattr(node, "id", None) or getattr(node, "attr", None) if isinstance(node, (ast.Name, ast.Attribute)) else node.name if isinstance(node, ast.alias) else None
-        if token:
+        if token and "token" in kinds:
             out.append((path, "token", "", 0, 0, getattr(node, "lineno", 0), 0, "", token.lower(), 0, 0, 0))
-    for node in tree.body:
+    for node in tree.body if "symbol" in kinds else ():
         if isinstance(node, _FUNCTIONS) and not node.name.startswith("_"):
             args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
-            inner = list(ast.walk(node))
+            inner = walked(node)
             calls = sum(getattr(x.func, "attr", getattr(x.func, "id", "")).lower() in TRANSFORM_CALLS for x in inner if isinstance(x, ast.Call))
-            out.append((path, "symbol", node.name, 0, 0, node.lineno, node.end_lineno, "", "", sum(a.arg not in ("self", "cls") for a in args), sum(isinstance(x, _BRANCHES) for x in inner), calls + sum(isinstance(x, _TRANSFORMS) for x in inner)))
+            out.append((path, "symbol", node.name, 0, 0, node.lineno, node.end_lineno, "", "", sum(a.arg not in ("self", "cls") for a in args), sum(x.__class__ in _BRANCHES for x in inner), calls + sum(x.__class__ in _TRANSFORMS for x in inner)))
     return out
 
 
-def flow_facts(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """``FLOW`` rows of every file. Null texts are empty files."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in FLOW.split(", ")]
-        for b in batches:
-            yield pd.DataFrame([r for p, t in zip(b["path"], b["text"]) for r in flow_of(p, t or "")], columns=columns)
-
-    return files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).mapInPandas(run, FLOW)
+def flow_facts(files: DataFrame, path_col: str = "path", text_col: str = "text", kinds: Iterable[str] = ALL) -> DataFrame:
+    """``FLOW`` rows of every file, of ``kinds`` alone, written once, as detectors read them several times. Null texts are empty files."""
+    return saved(parsed(files, path_col, text_col, partial(flow_of, kinds=frozenset(kinds)), FLOW, copies=True))
 
 
 def repeated_statement_blocks(facts: DataFrame, size: int = 3, least: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from guardlake.operators import flow
+from guardlake.operators.parse import dealt
 from guardlake.plans import proxies as X
 from guardlake.plans.guard_queries import _values
 
@@ -27,7 +28,7 @@ COPIED = ((2, "node", "lines 13-15"), (4, "<module>", "lines 1-11"), (4, "<modul
 
 def _dealt(s, d, texts, folder):
     """Every text for every customer, the key written into it."""
-    c = X.table(s, d, "customer").select("c_custkey", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(texts)))).alias("f"))
+    c = dealt(X.table(s, d, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(texts)))).alias("f"))
     key = F.col("c_custkey").cast("string")
     return c.select(F.concat(F.lit(folder + "/c"), key, F.lit("/f"), F.col("f.i").cast("string"), F.lit(".py")).alias("path"), F.replace("f.t", F.lit("@k"), key).alias("text"))
 
@@ -43,9 +44,9 @@ def _blocks(s, d):
 
 def _candidates(s, d):
     tests = _dealt(s, d, TESTS, "tests")
-    tokens, property_tokens = flow.property_tokens(tests, flow.flow_facts(tests))
+    tokens, property_tokens = flow.property_tokens(tests, flow.flow_facts(tests, kinds=["token"]))
     module = F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit("."))
-    return flow.property_candidates(flow.flow_facts(_sources(s, d)), tokens, property_tokens, module)
+    return flow.property_candidates(flow.flow_facts(_sources(s, d), kinds=["symbol"]), tokens, property_tokens, module)
 
 
 def _rows(rule: str, rows) -> str:
