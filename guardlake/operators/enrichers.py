@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.storage import saved
+
 #: Names that a hint lists at most; fixed value: calls of a try statement.
 SHOWN, CALLS = 6, 5
 
@@ -72,7 +74,9 @@ def parameters(violations: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def enriched(violations: DataFrame, facts: DataFrame) -> DataFrame:
-    """The violations that have an enricher, each with its hint."""
+    """The violations that have an enricher, each with its hint. Violations are written once, as each enricher reads them; ``facts``
+    should be a table too, as most enrichers read them."""
+    violations = saved(violations)
     out = wrappers(violations, facts)
     for f in (fixtures, complexity, silent_handlers, parameters):
         out = out.union(f(violations, facts))

@@ -11,6 +11,7 @@ from guardlake.operators.parse import dealt
 from guardlake.plans import proxies as X
 from guardlake.plans.guard_queries import _values
 from guardlake.plans.shape_queries import HINTED, HINTS
+from guardlake.storage import saved
 
 #: Files of one package; N is the customer's number.
 PACKAGE = (
@@ -70,7 +71,7 @@ def _hinted(s, d):
     k = F.concat(F.lit("r"), F.col("c_custkey").cast("string"))
     file = lambda f: F.struct(F.concat(k, F.lit("/" + f[0])).alias("path"), F.replace(F.replace(F.lit(f[1]), F.lit("a("), F.concat(F.lit("a"), k, F.lit("("))), F.lit("c("), F.concat(F.lit("c"), k, F.lit("("))).alias("text"))
     files = _customers(s, d).select(F.explode(F.array(*(file(f) for f in HINTED))).alias("f")).select("f.*")
-    facts = D.source_facts(files)
+    facts = saved(D.source_facts(files, kinds=D.ALL - {"literal"}))
     return enrichers.enriched(D.size_violations(facts).union(smells.shape_violations(files)), facts)
 
 
