@@ -68,3 +68,17 @@ def test_empty_sides(spark):
     some, none = frame(spark, [(1, 5, "a")]), frame(spark, [])
     assert [tuple(r) for r in C.claim(some, none, ["key"], 5).collect()] == [(1, None, None)]
     assert C.claim(none, some, ["key"], 5).count() == 0
+
+
+def test_blocks_are_cut_by_keys_alone(spark):
+    """However many ranges the rows are sorted in, a key's blocks hold ``rows`` rows each, but for its last."""
+    results, events = ([(first + i, (i * 7919) % 9973, "ab"[i % 3 == 0]) for i in range(5000)] for first in (0, 10_000))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed, _ = claims._sorted(frame(spark, results), frame(spark, events), ["key"], 3000)
+        got = placed.groupBy("key", "block").agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).orderBy("key", "block").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert [(r.block, r.n) for r in got] == [(0, 3000), (1, 3000), (2, 666), (0, 3000), (1, 334)]
+    assert all(a.high <= b.low for a, b in zip(got, got[1:]) if a.key == b.key)
