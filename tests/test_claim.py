@@ -76,9 +76,21 @@ def test_blocks_are_cut_by_keys_alone(spark):
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        placed, _ = claims._sorted(frame(spark, results), frame(spark, events), ["key"], 3000)
+        placed = claims._cut(claims._sorted(frame(spark, results), frame(spark, events), ["key"]), 3000, 0)
         got = placed.groupBy("key", "block").agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).orderBy("key", "block").collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert [(r.block, r.n) for r in got] == [(0, 3000), (1, 3000), (2, 666), (0, 3000), (1, 334)]
     assert all(a.high <= b.low for a, b in zip(got, got[1:]) if a.key == b.key)
+
+
+def test_chains_at_an_end_of_blocks_are_cut_anew(spark, monkeypatch):
+    """More results than events on either side of an end of blocks: each displaced one crosses it, one a round."""
+    written = []
+    monkeypatch.setattr(claims, "saved", lambda df: written.append(1) or storage.saved(df))
+    rng = random.Random(8)
+    results = [(i, rng.randrange(1000), "a") for i in rng.sample(range(2000), 520)]
+    events = [(5000 + i, rng.randrange(1000), "a") for i in range(480)]
+    got = claims.claim(frame(spark, results), frame(spark, events), ["key"], 100, 500)
+    assert {r.seq: (r.event_seq, r.distance) for r in got.collect()} == greedy(results, events, 100)
+    assert len(written) <= 24
