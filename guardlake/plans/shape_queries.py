@@ -106,7 +106,7 @@ QUERIES = {
         "union all select 'parse_error', count(*), 0 from g where broken having count(*) > 0",
     ),
     "size_violations": (
-        lambda s, d: D.size_violations(_sources(s, d)),
+        lambda s, d: D.size_violations(_sources(s, d, D.SIZES)),
         f"""with {GENERATED} select 'high-complexity' as rule, path as relative_path, name || ':4' as identifier, (n + 1)::varchar as detail from g where not broken and n + 1 > 12
 union all select 'long-method', path, name || ':4', (2 * n + 1)::varchar from g where not broken and 2 * n + 1 > 50
 union all select 'too-many-params', path, name || ':4', k::varchar from g where not broken and k > 4
