@@ -38,7 +38,7 @@ def _sources(s, d):
 
 
 def _blocks(s, d):
-    found = flow.repeated_statement_blocks(flow.flow_facts(_sources(s, d)))
+    found = flow.repeated_statement_blocks(flow.flow_facts(_sources(s, d), kinds=["statement"]))
     return found.withColumn("detail", F.regexp_replace("detail", ", block hash .*", ""))
 
 
