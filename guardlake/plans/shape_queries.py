@@ -113,7 +113,7 @@ union all select 'too-many-params', path, name || ':4', k::varchar from g where
 union all select 'python-parse-error', path, (2 * n + 6)::varchar, (2 * n + 6)::varchar from g where broken""",
     ),
     "semantic_clones": (
-        lambda s, d: D.semantic_clones(_sources(s, d)).select("n", "first"),
+        lambda s, d: D.semantic_clones(_sources(s, d, ["function"])).select("n", "first"),
         f"with {GENERATED} select count(*) as n, min(path || ':' || name) as first from g where not broken group by g.n having count(*) > 1",
     ),
     "repeated_helpers": (
